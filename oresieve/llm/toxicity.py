@@ -175,7 +175,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "scor
             found = [[{"start": a, "end": b, "score": p} for a, b, p in r[1]] for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([r[0] for r in rows], pa.float64()), pa.array(found, kind)], names=[*kept, out, spans])
 
-    span = T.StructType().add("start", "int").add("end", "int").add("score", "double")
+    span = T.StructType().add("start", "integer").add("end", "integer").add("score", "double")
     schema = docs.select(*kept).schema.add(out, "double", False).add(spans, T.ArrayType(span), False)
     return docs.select(*carried).mapInArrow(run, schema)
 
