@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, Scratch, named, sized
+from .shared import WORD, Scratch, named
 
 #: A source is repeated at most so often.
 EPOCHS = 3
@@ -60,16 +60,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("key")
     rows = docs.select(F.col(doc_id).alias("doc_id"), *carry, F.col(source).alias("m_source"), word_count(text).alias("size"), key, F.xxhash64(text).alias("tie"))
     rows = rows.withColumn("range", F.substring("key", 1, digits))
-    ranges = scratch.keep(rows.groupBy("m_source", "range").agg(F.sum("size").alias("range_size")), "ranges")
+    # one key for a source's range, null told from any text, so that ordering and budgets share a shuffle
+    rows = rows.withColumn("cell", F.concat("range", F.coalesce(F.concat(F.lit("="), F.col("m_source")), F.lit(""))))
+    ranges = scratch.keep(rows.groupBy("m_source", "range", "cell").agg(F.sum("size").alias("range_size")), "ranges")
     sizes = ranges.groupBy(F.col("m_source").alias("source")).agg(F.sum("range_size").alias("source_size"))
     goals = targets(sizes, weights, epochs)
     ahead = Window.partitionBy("m_source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
-    ranges = ranges.join(goals, ranges.m_source.eqNullSafe(goals.source)).select(F.col("m_source").alias("r_source"), F.col("range").alias("r_range"), "range_before", "source_size", "target")
+    ranges = ranges.join(goals, ranges.m_source.eqNullSafe(goals.source)).select("cell", "range_before", "source_size", "target")
     ranges = scratch.keep(ranges, "budgets")
-    inside = Window.partitionBy("m_source", "range").orderBy("key", "doc_id", "size", "tie")
+    inside = Window.partitionBy("cell").orderBy("key", "doc_id", "size", "tie")
     rows = rows.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(sized(ranges, ranges.count()), rows.m_source.eqNullSafe(ranges.r_source) & (rows.range == ranges.r_range))
+    rows = rows.join(ranges, "cell")
     start = F.col("range_before") + F.coalesce("inside", F.lit(0))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - F.col("full") * F.col("source_size")
