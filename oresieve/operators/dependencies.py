@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import constants as K
 from ..sources import snapshots
+from .state import upserted
 
 OUTPUT = ("category", "full_name", "frameworks", "dep_files")
 
@@ -60,7 +61,7 @@ def root_check(spark: SparkSession, candidates: DataFrame, files: DataFrame, sta
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
     no_deps = F.when(F.coalesce("n_files", F.lit(0)) == 0, True).alias("no_deps")
     fresh = fresh.select("full_name", "category", empty("frameworks"), empty("dep_files"), no_deps, F.lit(None).cast("boolean").alias("deep_checked"))
-    known = state.select(*fresh.columns).unionByName(fresh)
+    known = upserted(state.select(*fresh.columns), fresh)
     verdict = F.when(F.coalesce("no_deps", F.lit(False)), "no_deps").when(F.coalesce("frameworks", F.lit("")) != "", "hit").otherwise("none")
     return candidates.select("full_name").join(known, "full_name").withColumn("verdict", verdict), fresh
 

@@ -9,8 +9,13 @@ from ..sources import snapshots
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "full_name") -> DataFrame:
-    """Old rows without those that new ones replace, and the new ones; keys are unique in each."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """Old rows without those that new ones replace, and the new ones; keys are unique in each. One shuffle, of both by key."""
+    # a union that passes its inputs' partitioning on can zip inputs that adaptive execution has coalesced differently
+    old.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    both = old.withColumn("newer", F.lit(0)).unionByName(new.withColumn("newer", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (key, "newer")]
+    last = both.groupBy(key).agg(F.max_by(F.struct(*rest), "newer").alias("row"))
+    return last.select(*(F.col(c) if c == key else F.col(f"row.{c}") for c in both.columns if c != "newer"))
 
 
 def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:

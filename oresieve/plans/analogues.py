@@ -17,7 +17,7 @@ from ..sources import snapshots
 QUERIES, ORACLES = {}, {}
 #: The licence names that documents are tagged by.
 LICENCES = {"apache": "Apache", "cc": "CC", "gpl": "GPL", "mit": "MIT"}
-GATE, STOP = "tion", "moron|scum|idiot"
+GATE, STOP = "tion", "mock|patch|fake"
 
 
 def query(sql: str | None = None):

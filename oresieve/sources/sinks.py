@@ -30,7 +30,7 @@ def export_csv(table: DataFrame, path: str, columns: list[str] | None = None, or
     """
     rows = table.orderBy(*order) if order else table
     rows = export_text(rows.select(*(f"`{c}`" for c in columns)) if columns else rows)
-    rows.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    rows.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append(table: DataFrame, path: str) -> None:
@@ -39,8 +39,9 @@ def append(table: DataFrame, path: str) -> None:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """(safe_name, content): a folder for each document with its text; no document passes through the driver."""
-    documents.select("safe_name", F.col("content").alias("value")).write.mode("overwrite").partitionBy("safe_name").option("lineSep", "").text(path)
+    """(safe_name, content): a folder for each document with its text; no document passes through the driver. The writer adds the last newline."""
+    text = F.regexp_replace("content", "\\n\\z", "").alias("value")
+    documents.select("safe_name", text).write.mode("overwrite").partitionBy("safe_name").text(path)
 
 
 def metrics(**counts: DataFrame) -> DataFrame:
