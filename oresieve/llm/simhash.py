@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .components import connected_components
-from .shared import Scratch, slices, small_batches
+from .shared import Scratch, named, slices, small_batches
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints of the largest bucket that is compared pair by pair; a larger one goes the way of one-bit neighbours.
@@ -128,16 +128,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest doc_id, with the input's columns.
 
-    Rows that share a doc_id are told apart by all their columns' hash; of rows equal in everything one stays. Rows without
-    doc_id all stay, as nothing groups them.
+    Rows that go are fewer than rows that stay, so these are what the documents are joined against; texts are shuffled only if that list is
+    too long to broadcast. Rows that share a doc_id are few and go their own way: of those that lead their group one stays in
+    each, the least by a hash of all columns. Rows without doc_id all stay, as nothing groups them.
     """
     scratch = Scratch(docs.sparkSession)
     groups = scratch.keep(near_duplicates(docs, doc_id, text), "groups")
-    leads = groups.where(F.col(doc_id) == F.col("component_id"))
-    once = scratch.keep(leads.groupBy(F.col(doc_id).alias("lead")).agg(F.count(F.lit(1)).alias("rows")), "leads")
-    kept = docs.join(once, docs[doc_id] == once.lead).drop("lead")
-    alone = kept.where("rows = 1").drop("rows")
-    several = kept.where("rows > 1").drop("rows")
-    row = F.struct(*several.columns)
-    several = several.groupBy(doc_id).agg(F.min_by(row, F.xxhash64(*several.columns)).alias("row")).select("row.*")
-    return alone.unionByName(several.select(*docs.columns)).unionByName(docs.where(F.col(doc_id).isNull()))
+    ids = groups.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("lead")).agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("c"))
+    marked = scratch.keep(ids.where("rows > 1 or lead <> c").select("lead", (F.col("rows") > 1).alias("several")), "marked")
+    kept = docs.join(marked, docs[doc_id] == marked.lead, "left_anti")
+    several = marked.where("several").select("lead")
+    if several.isEmpty():
+        return kept
+    fp, group = named("fp", docs.columns), named("component", docs.columns)
+    rows = docs.join(several, docs[doc_id] == several.lead, "left_semi")
+    rows = fingerprints(rows, docs.columns, text, fp)
+    leads = groups.where(F.col(doc_id) == F.col("component_id")).select(F.col("fp").alias("g_fp"), F.col("component_id").alias(group)).distinct()
+    rows = rows.join(leads, (rows[fp] == leads.g_fp) & (rows[doc_id] == leads[group]))
+    one = rows.groupBy(group).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return kept.unionByName(one.select(*docs.columns))
