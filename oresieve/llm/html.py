@@ -201,6 +201,7 @@ def article_text(html: str, templates: frozenset[int] | set[int] = frozenset())
                 todo.pop()
                 if open_.pop().tag in BLOCKS:
                     flush()
+        flush()
     return "\n".join(blocks)
 
 
