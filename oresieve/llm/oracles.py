@@ -85,4 +85,37 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLES = {"op2_embedding_dedup": EMBEDDINGS, "op3_chat": CHAT, "op7_url_filter": URLS, "op9_mix": MIX}
+#: A repeat longer than 200 words is a window of 201 words that is there twice; it covers as many words, so few texts are asked.
+QUALITY = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), w AS (
+  SELECT r, unnest(words) AS word, unnest(range(len(words))) AS i FROM d
+), g AS (
+  SELECT r, i, word, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS gram FROM w
+), t AS (
+  SELECT r, i, word, len(gram) = 8 AND count(*) OVER (PARTITION BY r, gram) > 1 AS twice FROM g
+), c AS (
+  SELECT r, word, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM t
+), n AS (
+  SELECT r, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (covered) AS n_repeat_words FROM c GROUP BY r
+), x AS (
+  SELECT r, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 200 FOLLOWING) AS gram
+  FROM w WHERE r IN (SELECT r FROM n WHERE n_repeat_words > 200)
+), long AS (
+  SELECT DISTINCT r FROM (SELECT r FROM x WHERE len(gram) = 201 GROUP BY r, gram HAVING count(*) > 1)
+), s AS (
+  SELECT d.doc_id, coalesce(n.n_words, 0) AS n_words, coalesce(n.word_chars, 0) AS word_chars,
+    length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    (len(l.lines) - len(list_distinct(l.lines)))::BIGINT AS n_dup_lines,
+    coalesce(n.n_repeat_words, 0) AS n_repeat_words, long.r IS NOT NULL AS long
+  FROM d JOIN l USING (r) LEFT JOIN n USING (r) LEFT JOIN long USING (r)
+)
+SELECT * EXCLUDE (long), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT long AS kept
+FROM s
+"""
+
+ORACLES = {"op2_embedding_dedup": EMBEDDINGS, "op3_chat": CHAT, "op5_quality": QUALITY, "op7_url_filter": URLS, "op9_mix": MIX}

@@ -131,26 +131,30 @@ def count_texts(texts: list[str]) -> dict[str, np.ndarray]:
 
 
 def quality_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """The input's rows with COUNTS added as long columns; the prefix keeps them apart from columns of the same name.
+    """The input's rows with COUNTS added as long columns; a column of the input that has the name of a new one is replaced,
+    unless a prefix keeps them apart.
 
-    No shuffle: each text is counted where it is read. A null text has no words; a row stays a row, repeated or not.
+    No shuffle: each text is counted where it is read. A null text has no words; a row stays a row, repeated or not; an
+    empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    fields = docs.schema.fields
-    at = docs.columns.index(text)
+    new = [prefix + c for c in COUNTS]
+    kept = [c for c in docs.columns if c.lower() not in new]
+    carried = kept if text in kept else [*kept, text]
+    at = carried.index(text)
 
     def count(batches):
         for batch in batches:
             column = batch.column(at).fill_null("")
             sizes = pc.binary_length(column).to_pylist()
             parts = [count_texts(column.slice(a, b - a).to_pylist()) for a, b in slices(sizes, PASS_BYTES)]
-            new = [pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in COUNTS]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(prefix + c for c in COUNTS)])
+            counts = [pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in COUNTS]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *counts], names=[*kept, *new])
 
-    schema = docs.schema.__class__(fields.copy())
-    for c in COUNTS:
-        schema = schema.add(prefix + c, "long", False)
-    return docs.mapInArrow(count, schema)
+    schema = docs.select(*kept).schema
+    for c in new:
+        schema = schema.add(c, "long", False)
+    return docs.select(*carried).mapInArrow(count, schema)
 
 
 def verdicts(counts: DataFrame, prefix: str = "", least_words: int = LEAST_WORDS, most_covered: float = MOST_COVERED, longest: int = LONGEST_REPEAT) -> DataFrame:

@@ -72,7 +72,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.verdicts(quality.quality_counts(docs)).drop("text")
+    return quality.verdicts(quality.quality_counts(docs)).drop("text", "longest_repeat")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
