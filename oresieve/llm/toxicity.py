@@ -138,13 +138,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     """The texts and labels of at most most_toxic + most_clean documents, in a fixed order. Held-out rows are none of them.
 
     Ids are chosen among the labels, in the order of a hash; their bounded list is broadcast to one scan of the documents.
+    Of rows that share a doc_id the least text counts, so that the bound holds however often a document is repeated.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("key", F.xxhash64("doc_id"))
     chosen = [rows.where(c).orderBy("key").limit(n) for c, n in (("toxic = 1", most_toxic), ("toxic = 0", most_clean))]
     ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("l_id"), F.col("toxic").alias("l_toxic"))
     ids = docs.sparkSession.createDataFrame(ids.toPandas().astype({"l_id": "int64", "l_toxic": "int32"}), "l_id long, l_toxic int")
-    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("l_id", "l_toxic", F.coalesce("text", F.lit("")).alias("l_text")).collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).groupBy("l_id", "l_toxic").agg(F.min("text").alias("l_text")).collect()
     found.sort()
     return [r[2] for r in found], [r[1] for r in found]
 
