@@ -59,6 +59,15 @@ class Transducer:
         self.number = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, int]] = {}
 
+    def _renewed(self, state: int) -> int:
+        """Forgets all states but the one reached, so that even a word of many millions of symbols takes bounded memory."""
+        key = self.states[state]
+        self.reset()
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+        return self.number[key]
+
     def _next(self, node: int, symbol: int) -> int:
         """Where the automaton goes: the longest suffix of what was read that begins some token."""
         while symbol not in self.children[node]:
@@ -92,14 +101,15 @@ class Transducer:
 
     def count(self, word: bytes) -> int:
         """Tokens of a word. Its last byte is read as the symbol that ends a word, where the vocabulary has such."""
-        if len(self.steps) > MOST_TRANSITIONS:
-            self.reset()
         state = total = 0
         steps, last = self.steps, len(word) - 1 if self.merges.suffix else len(word)
         for k, byte in enumerate(word):
             key = state << 9 | (byte + 256 if k == last else byte)
             step = steps.get(key)
             if step is None:
+                if len(steps) >= MOST_TRANSITIONS:
+                    state, steps = self._renewed(state), self.steps
+                    key = state << 9 | key & 511
                 step = steps[key] = self._compile(state, key & 511)
             state = step[0]
             total += step[1]
