@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import named, small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that steer a model and must not come out of a text: this template's and those of other public ones.
@@ -59,7 +59,7 @@ def field_paths(record, path: str = "") -> set[str]:
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "replace")).hexdigest()[:16]
 
 
 def by_fingerprint(mappings=MAPPINGS) -> dict[str, Mapping]:
@@ -72,8 +72,13 @@ def by_fingerprint(mappings=MAPPINGS) -> dict[str, Mapping]:
     }
 
 
+#: Halves of surrogate pairs, which JSON can escape but no UTF-8 text can hold.
+HALVES = re.compile("[\ud800-\udfff]")
+
+
 def _text(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    told = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return HALVES.sub("\ufffd", told)
 
 
 def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
@@ -134,7 +139,7 @@ NEW = {
 def format_chats(records: DataFrame, record: str = "record", mappings=MAPPINGS) -> DataFrame:
     """Adds layout, schema_fingerprint, turns, formatted and loss_spans to records, each a JSON text of any layout.
 
-    A record that is null or no JSON object has null in all of them; one of an unknown layout has its fingerprint only, which
+    A record that is null, no JSON object or nested too deep to read has null in all of them; lone surrogates in it become U+FFFD; one of an unknown layout has its fingerprint only, which
     tells what mapping to declare. Null texts count as empty. Rows stay, in number and order, and other columns
     pass; a column of the input that has the name of a new one is replaced.
     """
@@ -145,11 +150,11 @@ def format_chats(records: DataFrame, record: str = "record", mappings=MAPPINGS)
     def one(text):
         try:
             value = json.loads(text) if text is not None else None
-        except ValueError:
+            print_ = fingerprint(field_paths(value))
+        except (ValueError, RecursionError):
             value = None
         if not isinstance(value, dict):
             return None, None, None, None, None
-        print_ = fingerprint(field_paths(value))
         mapping = known.get(print_)
         if mapping is None:
             return None, print_, None, None, None
@@ -166,7 +171,7 @@ def format_chats(records: DataFrame, record: str = "record", mappings=MAPPINGS)
     schema = records.select(*kept).schema
     for name, (kind, _) in NEW.items():
         schema = schema.add(name, kind, True)
-    return records.select(*kept, F.col(record).alias("record_read")).mapInArrow(run, schema)
+    return records.select(*kept, F.col(record).alias(named("record_read", kept))).mapInArrow(run, schema)
 
 
 def records_of(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
