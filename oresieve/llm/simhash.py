@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", name: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps, pa.int64())], names=[*keep, name])
 
     schema = docs.select(*keep).schema.add(name, "long", False)
-    return docs.select(*keep, F.col(text).alias(f"{text}_read")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(named(f"{text}_read", keep))).mapInArrow(run, schema)
 
 
 def links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, name: str = "fp") -> DataFrame:
@@ -143,7 +143,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     fp, group = named("fp", docs.columns), named("component", docs.columns)
     rows = docs.join(several, docs[doc_id] == several.lead, "left_semi")
     rows = fingerprints(rows, docs.columns, text, fp)
-    leads = groups.where(F.col(doc_id) == F.col("component_id")).select(F.col("fp").alias("g_fp"), F.col("component_id").alias(group)).distinct()
-    rows = rows.join(leads, (rows[fp] == leads.g_fp) & (rows[doc_id] == leads[group]))
+    g_fp = named("g_fp", docs.columns)
+    leads = groups.where(F.col(doc_id) == F.col("component_id")).select(F.col("fp").alias(g_fp), F.col("component_id").alias(group)).distinct()
+    rows = rows.join(leads, (rows[fp] == leads[g_fp]) & (rows[doc_id] == leads[group]))
     one = rows.groupBy(group).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
     return kept.unionByName(one.select(*docs.columns))
