@@ -20,7 +20,7 @@ def documents(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, size string, n_tokens string")
 
 
-def test_tokens_agree_with_the_libraries(spark):
+def test_tokens_agree_with_the_libraries(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     byte, word = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -34,6 +34,11 @@ def test_tokens_agree_with_the_libraries(spark):
         assert mine.encode(s) == array("I", ids).tobytes() and mine.decode(mine.encode(s)) == a.decode(ids, skip_special_tokens=False)
         n = len(b.encode(s, add_special_tokens=False).ids)
         assert counter.count(s) == n and (counter.prefix_counts(s, 3) or [0])[-1] == n
+    words = ["abcabcabcxyz" * 9, "thethethe" * 20, "zqzqjxkv" * 30]
+    wanted = [counter.count(w) for w in words]
+    monkeypatch.setattr(tokencount, "MOST_TRANSITIONS", 5)
+    counter.transducer.reset()
+    assert [counter.transducer.count(w.encode()) for w in words] == wanted == [len(b.encode(w).ids) for w in words] and len(counter.transducer.steps) <= 5
     docs = documents(spark, EDGE)
     got = {r.doc_id: r for r in bpe.encode_decode(docs, byte).collect()}
     assert all(got[k].decoded == (t or "") and len(got[k].ids) // 4 == len(a.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(EDGE))
@@ -58,6 +63,10 @@ def test_quality_against_windows(spark):
         assert (r.n_words, r.n_repeat_words, r.longest_repeat) == (len(w), len(cover), longest)
         assert r.base_failed == (len(w) < 20 or 100 * len(cover) > 30 * len(w)) and r.kept == (not r.base_failed and longest <= quality.LONGEST_REPEAT)
     assert quality.keep_good(documents(spark, EDGE).where("false")).count() == 0
+    clash = documents(spark, texts).withColumn("N_words", F.lit("clash")).withColumn("kept", F.lit("clash"))
+    again = quality.verdicts(quality.quality_counts(clash))
+    assert len({c.lower() for c in again.columns}) == len(again.columns) and {r.doc_id: r.n_words for r in again.collect()} == {k: r.n_words for k, r in got.items()}
+    assert quality.keep_good(clash).columns == clash.columns
 
 
 def reach(nodes, edges):
@@ -148,6 +157,9 @@ def test_chat_layouts_and_round_trip(spark):
     got = chat.format_chats(table).collect()
     assert all([tuple(t) for t in r.turns] == [("user", "q"), ("assistant", "r")] for r in got[:5]) and all(r.turns is None for r in got[5:])
     assert got[7].schema_fingerprint and got[7].layout is None
+    odd = spark.createDataFrame([('{"prompt": "\\ud800", "completion": "r", "system": null}', "x"), ("[" * 5000, "x"), ('{"\\ud800": 1}', "x")], "record string, record_read string")
+    got = chat.format_chats(odd).collect()
+    assert got[0].turns[0].text == "\ufffd" and got[1].turns is None and got[2].turns is None and got[0].record_read == "x"
     rows = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, None, "hi"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     digests = {r.conv_id: r.n_turns for r in queries.chat_digests(chat.format_chats(chat.records_of(rows))).collect()}
     assert digests == {1: 2, None: 1}
@@ -202,6 +214,8 @@ def test_toxicity_learns_from_documents(spark):
     k, t, _ = rows[0]
     assert "you are" in t[got[k].offending[0].start : got[k].offending[0].end]
     assert toxicity.keep_clean(docs, labels).count() == 452
+    clash = docs.unionByName(docs.where("doc_id < 8")).withColumn("l_id", F.lit("x")).withColumn("l_text", F.lit("x")).withColumn("doc", F.lit("x"))
+    assert toxicity.training_sample(clash, labels) == toxicity.training_sample(docs, labels) and toxicity.keep_clean(clash, labels).columns == clash.columns
     assert toxicity.toxicity(docs, toxicity.train(docs, labels.where("false"))).agg(F.max("score")).first()[0] == 0
 
 
