@@ -23,7 +23,7 @@ from .bpe import MARKS, WHITE, Memo, Merges, loaded
 from .shared import file_bytes, small_batches
 
 #: Transitions that a worker holds; beyond, it compiles anew. Characters of a chunk of text.
-MOST_TRANSITIONS, CHUNK_CHARS = 2_000_000, 1 << 15
+MOST_TRANSITIONS, CHUNK_CHARS = 1_000_000, 1 << 15
 #: Fixed value: the public pattern that this vocabulary splits words by.
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 
