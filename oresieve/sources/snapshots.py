@@ -55,7 +55,7 @@ def walk(spark: SparkSession, root: str, full_name: str) -> DataFrame:
     """
     base = root.rstrip("/").removeprefix("file:")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", f"^(file:)?/*{base.lstrip('/')}/", "")
+    path = F.regexp_replace("path", f"^(file:)?/*\\Q{base.lstrip('/')}\\E/", "")
     files = found.select(F.lit(full_name).alias("full_name"), F.lit(None).cast("string").alias("branch"), path.alias("path"), F.lit(200).alias("status"), "content")
     return files.where(~C.is_vendored(F.col("path"))).withColumn("content", C.valid_text(F.col("content")))
 

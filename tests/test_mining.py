@@ -123,10 +123,11 @@ def test_reports_and_sinks(spark, tmp_path):
 
 
 def test_walk_and_counts(spark, tmp_path):
+    root = tmp_path / "a+b.(c)"  # signs that mean something in a pattern
     for name, text in {"t/test_a.py": b"x", ".git/test_b.py": b"y", "venv/c.py": b"z", "bad.py": b"\xff"}.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
-        (tmp_path / name).write_bytes(text)
-    got = sorted((r.path, r.content) for r in snapshots.walk(spark, str(tmp_path), "a/b").collect())
+        (root / name).parent.mkdir(exist_ok=True, parents=True)
+        (root / name).write_bytes(text)
+    got = sorted((r.path, r.content) for r in snapshots.walk(spark, str(root), "a/b").collect())
     assert got == [("bad.py", "\ufffd"), ("t/test_a.py", "x")]
     links = spark.createDataFrame([("a", '<x&page=7>; rel="last"', 1, 200), ("b", None, 2, 200), ("c", None, None, 409)], schemas.COMMIT_LINKS)
     assert [r.n for r in snapshots.link_counts(links, "n").orderBy("full_name").collect()] == [7, 2, 0]
