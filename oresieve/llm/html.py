@@ -36,6 +36,12 @@ NAMES = frozenset(
     " consent disqus gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo"
     " related share sharing sidebar sidebars sitefooter siteheader skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside those in one name (comment-list, site-footer); any other word makes it another name (has-comments).
+PARTS = frozenset("area bar block box button buttons container footer form header heading icons inner item items link links list post posts signup site slot title unit wrap wrapper".split())
+KNOWN = NAMES | PARTS
+#: Of these names an article is none, if the page has another; elements of the first three hold no article but comments.
+COMMENTS = frozenset("comment comments disqus".split())
+NO_ARTICLE = COMMENTS | frozenset("ad ads advert advertisement advertisements advertising adverts".split())
 #: A start tag on the left ends an open element on the right, up to the element after it.
 ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 KEEPS_P = frozenset("body html caption dd dt li td th tr tbody thead tfoot summary legend figcaption".split())
@@ -50,21 +56,27 @@ NAME = re.compile(r"[a-z]+")
 class Element:
     """An element of a page: its tag, the attributes that say what it is for, and its children (elements and decoded text)."""
 
-    __slots__ = ("tag", "names", "off", "children", "mark")
+    __slots__ = ("tag", "names", "named", "off", "children", "mark")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children, self.mark = tag, [], 0
         self.names: frozenset[str] = frozenset()
+        #: The words of NAMES in those classes and ids that hold no words but NAMES and PARTS.
+        self.named: frozenset[str] = frozenset()
         self.off = False
         if attributes.strip(" \t\n\r\f/"):
-            names = []
+            names, named = [], set()
             for key, a, b, c in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), unescape(a or b or c)
                 if key in ("class", "id"):
-                    names += NAME.findall(value.lower())
+                    for token in value.lower().split():
+                        words = NAME.findall(token)
+                        names += words
+                        if KNOWN.issuperset(words):
+                            named |= NAMES.intersection(words)
                 elif key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
                     self.off = True
-            self.names = frozenset(names)
+            self.names, self.named = frozenset(names), frozenset(named)
 
 
 def parse(html: str) -> Element:
@@ -147,23 +159,40 @@ def mark(root: Element) -> list[int]:
     return sorted(found)
 
 
-def _wanted(e: Element, inside: bool) -> bool:
-    return not (e.tag in DROPPED or e.off or (e.tag not in ("article", "main", "body", "html") or inside) and e.names & NAMES)
+def _wanted(e: Element, inside: bool, kept=frozenset()) -> bool:
+    return not (e.tag in DROPPED or e.off or e.named and e.tag not in ("body", "html") and (inside or e.tag not in ("article", "main")) and e not in kept)
 
 
-def _articles(root: Element) -> list[Element]:
-    """The outermost articles that no dropped element holds; else the main elements, else the page."""
-    for tag in ("article", "main"):
+def _holders(root: Element, comments: bool) -> set[Element]:
+    """Articles and main elements, and all elements around them; if not comments, none in an element that its name calls comments."""
+    kept = set()
+    for e in _walk(root):
+        if e.tag in ("article", "main"):
+            kept.add(e)
+        elif (comments or not e.named & COMMENTS) and any(c in kept for c in e.children if isinstance(c, Element)):
+            kept.add(e)
+    return kept
+
+
+def _articles(root: Element) -> tuple[list[Element], set[Element]]:
+    """The outermost articles that no dropped element holds; else the main elements, else the page; and what no name drops in them.
+
+    A page with an article outside of all named elements has other articles in these (comments, related ones). On a page without,
+    no name drops an article, a main element or what holds one.
+    """
+    kept: set[Element] = set()
+    for tag, but in (("article", NO_ARTICLE), ("main", frozenset())):
         found, todo = [], [root]
         while todo:
             e = todo.pop()
-            if e.tag == tag and not e.names & NAMES and not e.off:
+            if e.tag == tag and not e.named & but and not e.off:
                 found.append(e)
-            elif _wanted(e, False):
+            elif _wanted(e, False, kept):
                 todo += [c for c in reversed(e.children) if isinstance(c, Element)]
         if found:
-            return found
-    return [root]
+            return found, kept
+        kept = kept or _holders(root, False)
+    return [root], kept
 
 
 def article_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -171,6 +200,14 @@ def article_text(html: str, templates: frozenset[int] | set[int] = frozenset())
     root = parse(html)
     if templates:
         mark(root)
+    articles, kept = _articles(root)
+    if not _text(articles, kept):
+        # if names alone leave nothing, they do not hold for what holds an article
+        kept = _holders(root, True)
+    return _text(articles, kept, templates)
+
+
+def _text(articles: list[Element], kept: set[Element], templates: frozenset[int] | set[int] = frozenset()) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -179,7 +216,7 @@ def article_text(html: str, templates: frozenset[int] | set[int] = frozenset())
             blocks.append(" ".join(words))
         line.clear()
 
-    for article in _articles(root):
+    for article in articles:
         todo = [iter(article.children)]
         open_ = [article]
         flush()
@@ -191,7 +228,7 @@ def article_text(html: str, templates: frozenset[int] | set[int] = frozenset())
                     continue
                 if c.tag == "br":
                     line.append(" ")
-                elif _wanted(c, True) and not (templates and c.mark in templates) and not (open_[-1].tag == "header" and c.tag not in HEADINGS | {"header", "hgroup", "div"}):
+                elif _wanted(c, True, kept) and not (templates and c.mark in templates) and not (open_[-1].tag == "header" and c.tag not in HEADINGS | {"header", "hgroup", "div"}):
                     if c.tag in BLOCKS:
                         flush()
                     todo.append(iter(c.children))

@@ -179,6 +179,19 @@ def test_html(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_names_drop_no_article():
+    for around in ("class='content has-sidebar'", "id='page' class='with-menu'", "class='social-science'", "class='sidebar'", "id=widget"):
+        assert html.article_text(f"<nav>N</nav><div {around}><article><h1>A</h1><p>b</article></div><footer>F</footer>") == "A\nb"
+        assert html.article_text(f"<nav>N</nav><div {around}><main><p>b</main></div>") == "b" == html.article_text(f"<main><div {around}><article>b</article></div></main>")
+    for own in ("post has-comments", "post sponsored", "comment", "ad"):
+        assert html.article_text(f"<body><nav>N</nav><article class='{own}'><p>b<div class='no-ads'>c</div></article></body>") == "b\nc"
+    page = "<div class=x>{}</div><ol class=comment-list><li><article class=comment>me</article></ol><div class='related-posts'><article>R</article></div><div class='ad-slot-3'>AD</div>"
+    assert html.article_text(page.format("<article>b</article>")) == "b" and html.article_text(page.format("b")) == "b\nR"
+    assert html.article_text(page.format("<article></article>")) == "" and html.article_text("<body class='sidebar'><p>b") == "b"
+    assert html.article_text("<article><div class=widget><article>b</article></div></article>") == "b"
+    assert html.article_text("<div id=comments><article>b</article></div>") == "b" and html.article_text("<div class='cookie-notice'>C</div><p>b") == "b"
+
+
 def test_url_aliases(spark):
     link = '<link rel="canonical" href="{}">'.format
     rows = [
