@@ -195,16 +195,29 @@ def _articles(root: Element) -> tuple[list[Element], set[Element]]:
     return [root], kept
 
 
-def article_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks, one a line. templates: hashes of subtrees to delete; an article itself is never deleted."""
-    root = parse(html)
-    if templates:
-        mark(root)
+def _article(root: Element) -> tuple[list[Element], set[Element], str]:
+    """The page's articles, what no name drops in them, and their text with no template deleted."""
     articles, kept = _articles(root)
-    if not _text(articles, kept):
+    text = _text(articles, kept)
+    if not text:
         # if names alone leave nothing, they do not hold for what holds an article
         kept = _holders(root, True)
-    return _text(articles, kept, templates)
+        text = _text(articles, kept)
+    return articles, kept, text
+
+
+def article_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's blocks, one a line. templates: hashes of subtrees to delete; an article itself is never deleted.
+
+    Nor is anything in articles of which templates are the greater part: these recur as near copies.
+    """
+    root = parse(html)
+    articles, kept, text = _article(root)
+    if not templates:
+        return text
+    mark(root)
+    rest = _text(articles, kept, templates)
+    return text if articles[0].tag == "article" and 2 * len(rest) <= len(text) else rest
 
 
 def _text(articles: list[Element], kept: set[Element], templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -243,7 +256,7 @@ def _text(articles: list[Element], kept: set[Element], templates: frozenset[int]
 
 
 def _marks(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """(host, page, marks): each page's subtree hashes, and the hash of the whole page."""
+    """(host, page, marks): each page's subtree hashes, and the hash of its article's text, by which pages are told apart."""
 
     def run(batches):
         for batch in batches:
@@ -251,7 +264,8 @@ def _marks(pages: DataFrame, host: str, html: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 root = parse(text or "")
                 marks.append(mark(root))
-                page.append(root.mark)
+                digest = hashlib.blake2b(_article(root)[2].encode("utf-8", "replace"), digest_size=8).digest()
+                page.append(int.from_bytes(digest, "little", signed=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(page, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["host", "page", "marks"])
 
     return pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, marks array<bigint>")
@@ -260,13 +274,13 @@ def _marks(pages: DataFrame, host: str, html: str) -> DataFrame:
 def site_templates(pages: DataFrame, scratch: Scratch, host: str = "host", html: str = "html") -> DataFrame:
     """(host, templates): the subtrees that recur across a host's pages, at least LEAST_PAGES and LEAST_SHARE of them.
 
-    Copies of a page count once. Counts are summed on the map side first, so that a large host is no single task's work. At most
-    1 / LEAST_SHARE times the subtrees of a mean page pass, so that a host's list is bounded.
+    Pages with the same article count once, whatever is around it. Counts are summed on the map side first, so that a large host
+    is no single task's work. At most 1 / LEAST_SHARE times the subtrees of a mean page pass, so that a host's list is bounded.
     """
     marks = scratch.keep(_marks(pages, host, html), "marks")
-    different = marks.groupBy("host", "page").agg(F.min("marks").alias("marks"))
+    different = marks.select("host", "page", F.explode("marks").alias("mark")).distinct()
     sizes = marks.groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    counts = different.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    counts = different.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
     common = scratch.keep(counts, "common")
     found = common.join(scratch.keep(sizes, "hosts"), "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
     return found.groupBy("host").agg(F.collect_set("mark").alias("templates"))

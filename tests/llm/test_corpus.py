@@ -192,6 +192,23 @@ def test_html_names_drop_no_article():
     assert html.article_text("<div id=comments><article>b</article></div>") == "b" and html.article_text("<div class='cookie-notice'>C</div><p>b") == "b"
 
 
+def test_html_copies_keep_their_article(spark):
+    around = "<nav><p>menu {0}</p></nav><div class=ad><p>buy {0}</p></div>{1}<footer>foot {0}</footer>".format
+    box, copy, near = "<div><p>Follow us today</p></div>", "<h1>Title</h1><p>first words of it</p><p>second words of it</p>", "<p>third words of it</p><p>seen {} times</p>"
+    hosts = {
+        "copies": [f"<article>{copy}<div class=ad>AD {k}</div></article>" for k in range(20)],
+        "bare": [copy] * 20,
+        "near": [f"<article>{copy}{near.format(k)}</article>" for k in range(20)],
+        "mixed": [f"<article>{copy}{box}</article>"] * 20 + [f"<article><p>another text, number {k}</p>{box}</article>" for k in range(15)],
+    }
+    rows = [(f"{host} {k}", f"http://{host}.x/{k}", around(k, body)) for host, pages in hosts.items() for k, body in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    text = "Title\nfirst words of it\nsecond words of it"
+    assert all(got[f"{host} {k}"] == text for host in ("copies", "bare", "mixed") for k in range(20))
+    assert all(got[f"near {k}"] == f"{text}\nthird words of it\nseen {k} times" for k in range(20))
+    assert all(got[f"mixed {20 + k}"] == f"another text, number {k}" for k in range(15))
+
+
 def test_url_aliases(spark):
     link = '<link rel="canonical" href="{}">'.format
     rows = [
