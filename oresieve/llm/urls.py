@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
+from html.entities import html5
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, named
+from .shared import Scratch, named, small_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Where a page names another address of its own; group 1 is the whole element.
-CANONICAL = "(?is)(<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>)"
-REFRESH = "(?is)(<meta\\b[^>]*http-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>)"
-HREF = "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
-TARGET = "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>;]+)"
+#: Elements that name an address: of the page itself, or the one that others are relative to.
+LINK = re.compile(r"(?is)<(link|meta|base)(?=[\s/])((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>")
+ATTRIBUTE = re.compile(r"(?s)([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+REFERENCE = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)[;=]?")
+REFRESH = re.compile(r"(?is)[\d.\s]*[;,]?\s*(?:url\s*=\s*)?(?:\"([^\"]*)|'([^']*)|(.*))")
+ADDRESS = re.compile(r"(?s)(.*?://[^/?#]*)([^?#]*)(\?[^#]*)?")
 
 
 class Rule(NamedTuple):
@@ -61,14 +66,69 @@ def _pick(host: Column, path: Column, rules: list[Rule], value) -> Column:
     return F.lit(None) if out is None else out
 
 
+def _decoded(value: str) -> str:
+    """An attribute's value. As browsers do, a name without a semicolon is no reference if = or more of a word follows (&copy=1)."""
+    return REFERENCE.sub(lambda m: unescape(m[0]) if m[1][0] == "#" or not m[0].endswith("=") and m[0][1:] in html5 else m[0], value)
+
+
+def resolve(base: str, target: str) -> str | None:
+    """The target's address as the page at `base` means it; null if it has no host or is the page itself."""
+    target = re.sub("[\t\n\r]", "", target).strip()
+    if scheme := re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", target):
+        return target if target.startswith("//", scheme.end()) else None
+    at = ADDRESS.match(base)
+    if at is None or not target or target[0] == "#":
+        return None
+    if target.startswith("//"):
+        return base[: base.index("://") + 1] + target
+    if target[0] == "?":
+        return at[1] + at[2] + target
+    path, rest = re.fullmatch("(?s)([^?#]*)(.*)", target).groups()
+    if path[0] != "/":
+        path = (at[2].rpartition("/")[0] or "") + "/" + path
+    parts: list[str] = []
+    steps = path.split("/")[1:]
+    for step in steps:
+        if step == "..":
+            del parts[-1:]
+        elif step != ".":
+            parts.append(step)
+    if steps[-1] in (".", ".."):
+        parts.append("")
+    return at[1] + "/" + "/".join(parts) + rest
+
+
+def targets(url: str, html: str) -> list[str]:
+    """The addresses that a page's canonical links and refreshes name, resolved against the page's base element or else its url."""
+    base, found = None, []
+    for m in LINK.finditer(html):
+        attributes: dict[str, str] = {}
+        for key, a, b, c in ATTRIBUTE.findall(m[2]):
+            attributes.setdefault(key.lower(), _decoded(a or b or c))
+        kind, href = m[1].lower(), attributes.get("href", "")
+        if kind == "base" and base is None and "href" in attributes:
+            base = resolve(url, href)
+        elif kind == "link" and "canonical" in attributes.get("rel", "").lower().split():
+            found.append(href)
+        elif kind == "meta" and attributes.get("http-equiv", "").strip().lower() == "refresh":
+            content = REFRESH.match(attributes.get("content", "").strip())
+            # unquoted, url= is an attribute of its own
+            found.append(content[1] or content[2] or content[3] or attributes.get("url", ""))
+    return [to for target in found if (to := resolve(base or url, target))]
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): the keys of a page and of the address that its canonical link or refresh names; only absolute addresses."""
-    named_by = F.concat(
-        F.transform(F.regexp_extract_all(F.col(html), F.lit(CANONICAL), 1), lambda x: F.regexp_extract(x, HREF, 1)),
-        F.transform(F.regexp_extract_all(F.col(html), F.lit(REFRESH), 1), lambda x: F.regexp_extract(x, TARGET, 1)),
-    )
-    marked = F.lower(F.col(html)).rlike("rel\\s*=\\s*[\"']?canonical|http-equiv\\s*=\\s*[\"']?refresh")
-    found = pages.where(marked).select(F.col(url).alias("from"), F.explode(named_by).alias("to"))
+    """(a, b): the keys of a page and of the address that its canonical link or refresh names, relative ones resolved."""
+    small_batches(pages.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            pairs = [(own, to) for own, page in zip(*(c.to_pylist() for c in batch.columns), strict=True) for to in targets(own, page)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["from", "to"])
+
+    low = F.lower(F.col(html))
+    marked = pages.where(key_of(F.col(url)).isNotNull() & (low.contains("canonical") | low.contains("refresh")))
+    found = marked.select(F.col(url).alias("from"), F.col(html).alias("html")).mapInArrow(run, "from string, to string")
     return found.select(key_of(F.col("from")).alias("a"), key_of(F.col("to")).alias("b")).where("a is not null and b is not null and a != b")
 
 

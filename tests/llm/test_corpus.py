@@ -224,6 +224,24 @@ def test_url_aliases(spark):
     assert urls.judge(pages.where("false"), queries.RULES).count() == 0
 
 
+def test_url_targets_are_decoded_and_resolved(spark):
+    bad, two = "http://a.org/es/1", "http://a.org/es/7?page=2&ref=x"
+    links = {
+        "http://b.io/1": f"<link rel='canonical' href='{two.replace('&', '&amp;')}'>", "http://b.io/2": f"<link rel=canonical href={two}>",
+        "http://b.io/3": f"<link href='{bad}' title='a > b' rel='alternate Canonical'>", "http://b.io/4": "<LINK REL=canonical HREF='//a.org/es/1'>",
+        "http://c.org/x/1?q": "<link rel=canonical href='/es/1'>", "http://c.org/es2/2": "<meta http-equiv=refresh content='0;URL=../es/1'>",
+        "http://b.io/5": "<base href='http://a.org/es/'><link rel=canonical href=1>", "http://b.io/6": f"<meta http-equiv='Refresh' content='3; url=&quot;{bad}&quot;'>",
+        "http://b.io/7": f"<meta name=x content='it's'><meta content=0; url={bad} http-equiv=refresh>", "http://b.io/8": "<link rel=canonical href='http://a.org&#47;es/9?a=1&copy=2'>",
+    }
+    free = {"http://d.io/1": f"<link rel='not-canonical' href='{bad}'>", "http://d.io/2": "<link rel=canonical href='/login?next=http://a.org/es/1'>", "http://d.io/3": f"<link rel=canonical href='mailto:{bad}'>", "http://d.io/4": "<meta http-equiv=refresh content=30>", "no scheme": "<link rel=canonical href='/es/1'>"}
+    pages = spark.createDataFrame([*links.items(), *free.items(), ("http://d.io/5", None), (None, "<link rel=canonical href='/'>")], "url string, html string")
+    assert {r.url: r.verdict for r in urls.judge(pages, queries.RULES).collect()} == dict.fromkeys(links, "block") | dict.fromkeys([*free, "http://d.io/5", None], "allow")
+    assert urls.targets("http://b.io/8", links["http://b.io/8"]) == ["http://a.org/es/9?a=1&copy=2"]
+    base = "http://h/a/b/c?q#f"
+    wanted = {"../d?x=../y": "http://h/a/d?x=../y", "d/./e/..": "http://h/a/b/d/", "?z": "http://h/a/b/c?z", "/../g": "http://h/g", "../../../g": "http://h/g", " /g\n": "http://h/g", "#s": None, "": None, "x:y": None}
+    assert {t: urls.resolve(base, t) for t in wanted} == wanted and urls.resolve("http://h", "g") == "http://h/g" and urls.resolve("https://h", "//i") == "https://i"
+
+
 def test_toxicity_learns_from_documents(spark):
     draw = random.Random(6)
     plain = ["tree", "house", "river", "stone", "cloud", "green", "walks", "under"]
