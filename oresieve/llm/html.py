@@ -44,6 +44,8 @@ COMMENTS = frozenset("comment comments disqus".split())
 NO_ARTICLE = COMMENTS | frozenset("ad ads advert advertisement advertisements advertising adverts".split())
 #: A start tag on the left ends an open element on the right, up to the element after it.
 ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+#: What a head can hold; any other element, and text, ends a head that is open.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 KEEPS_P = frozenset("body html caption dd dt li td th tr tbody thead tfoot summary legend figcaption".split())
 
 MARKUP = re.compile(
@@ -88,7 +90,7 @@ def parse(html: str) -> Element:
         if m is None:
             break
         if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
+            _text_in(stack, html[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -100,6 +102,10 @@ def parse(html: str) -> Element:
                     break
             continue
         attributes = m[3] or m[6] or ""
+        if tag == "body":
+            _close(stack, ("head",), ("body",))
+        elif stack[-1].tag == "head" and tag not in IN_HEAD:
+            del stack[-1:]
         if tag in BLOCKS and tag not in KEEPS_P:
             _close(stack, ("p",), ("table", "td", "button"))
         if tag in ENDS:
@@ -114,10 +120,16 @@ def parse(html: str) -> Element:
         elif tag not in VOID and not (attributes.endswith("/") and tag == "svg"):
             stack.append(element)
     if at < end:
-        stack[-1].children.append(unescape(html[at:]))
+        _text_in(stack, html[at:])
     return root
 
 
+def _text_in(stack: list[Element], text: str) -> None:
+    if stack[-1].tag == "head" and not text.isspace():
+        del stack[-1:]
+    stack[-1].children.append(unescape(text))
+
+
 def _close(stack: list[Element], tags, until) -> None:
     """Ends the nearest open element of these tags, unless one of `until` is open inside it."""
     for k in range(len(stack) - 1, 0, -1):

@@ -192,6 +192,15 @@ def test_html_names_drop_no_article():
     assert html.article_text("<div id=comments><article>b</article></div>") == "b" and html.article_text("<div class='cookie-notice'>C</div><p>b") == "b"
 
 
+def test_html_head_without_end():
+    head = "<html><head>\n<meta charset=utf-8><title>T</title><style>p{}</style><noscript><img src=x>N</noscript>\n"
+    for page in ("<body class=x><p>a<p>b", "<p>a<p>b</body>", "<body><article><p>a</p><p>b</p></article>", "a<br><p>b", "<!-- x --><div><p>a</div><p>b"):
+        for end in ("", "</head>"):
+            assert html.article_text(head + end + page) == "a\nb"
+    assert html.article_text("<head><title>T</title><noscript><link href=x><body><p>a") == "a" and html.article_text("<head><title>T</title>") == ""
+    assert html.article_text("<p>a<head><p>b") == "a\nb"
+
+
 def test_html_copies_keep_their_article(spark):
     around = "<nav><p>menu {0}</p></nav><div class=ad><p>buy {0}</p></div>{1}<footer>foot {0}</footer>".format
     box, copy, near = "<div><p>Follow us today</p></div>", "<h1>Title</h1><p>first words of it</p><p>second words of it</p>", "<p>third words of it</p><p>seen {} times</p>"
