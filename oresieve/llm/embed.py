@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by collision counting over sorted one-dimensional projections, after public work on query-aware hashing."""
+"""Embedding near-duplicates by collision counting over one-dimensional projections, of which one is sorted, after public work on query-aware hashing."""
 
 from __future__ import annotations
 
