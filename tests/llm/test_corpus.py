@@ -304,3 +304,77 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(k, 1, 0) for k in range(9)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= {*range(60)} and all(r.exact for r in out) and abs(len(out) - 60) <= 3
+
+
+def test_pipeline_stages_against_plain_computations(spark, tmp_path):
+    import hashlib
+    from collections import Counter
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+    from xxhash import xxh64_intdigest
+
+    draw = random.Random(8)
+    plain = ["tree", "house", "river", "stone", "cloud", "green", "walks", "under"]
+
+    def clean(n=8):
+        return " ".join(" ".join(draw.choice(plain) + str(draw.randrange(900)) for _ in range(8)) + "." for _ in range(n))
+
+    toxic = {k for k in range(400) if k % 4 == 0}
+    texts = [clean() + (f" you are {draw.choice(['vilelo', 'vileka', 'grubby'])} indeed." if k in toxic else "") for k in range(400)]
+    long = [clean(60) for _ in range(10)]
+    copies = [texts[1], texts[2].upper(), *long, *(t[: t.rindex(" ")] + f" other{k}." for k, t in enumerate(long))]
+    passage = " ".join(clean(26).split()[:205])
+    bad = ["too short", "same words " * 40, f"{passage} {clean(150)} {passage}", None, ""]
+    fine = [f"{passage[: len(passage) // 2]} {clean(150)} {passage[: len(passage) // 2]}"]
+    texts += [*copies, *bad, *fine]
+    source = [None if k % 5 == 0 else f"s{k % 3}" for k in range(len(texts))]
+    rows = [(k, t, "en", source[k], len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def good(t):
+        w = (t or "").split()
+        at = {}
+        for i in range(len(w) - 7):
+            at.setdefault(tuple(w[i : i + 8]), []).append(i)
+        covered = {j for where in at.values() if len(where) > 1 for i in where for j in range(i, i + 8)}
+        windows = [tuple(w[i : i + 201]) for i in range(len(w) - 200)]
+        return len(w) >= 20 and 100 * len(covered) <= 30 * len(w) and len({*windows}) == len(windows)
+
+    def fp(t):
+        w = t.encode().lower().split()
+        h = [xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(len(w) - 2)]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    left = [{k for k in range(len(texts)) if k not in toxic}]
+    left.append({k for k in left[0] if good(texts[k])})
+    prints = {k: fp(texts[k]) for k in left[1]}
+    near = [(a, b) for a in prints for b in prints if b < a and (prints[a] ^ prints[b]).bit_count() <= 2]
+    left.append({*reach(left[1], near).values()})
+    assert len(left[0]) - len(left[1]) == len(bad) and any(prints[a] != prints[b] for a, b in near) and len(left[1]) - len(left[2]) > 2
+    size = {k: len(texts[k].split()) for k in left[2]}
+    names = sorted({source[k] for k in size} - {None}) + [None]
+    total = {n: sum(size[k] for k in size if source[k] == n) for n in names}
+    weight, rest, open_ = {n: 1 + i % 3 for i, n in enumerate(names)}, float(sum(total.values())), [*names]
+    while capped := [n for n in open_ if 3 * total[n] < rest / sum(weight[m] for m in open_) * weight[n]]:
+        open_ = [n for n in open_ if n not in capped]
+        rest -= sum(3 * total[n] for n in capped)
+    taken = Counter()
+    for n in names:
+        target = rest / sum(weight[m] for m in open_) * weight[n] if n in open_ else 3 * total[n]
+        whole, start = int(target // total[n]), 0
+        for k in sorted((k for k in size if source[k] == n), key=lambda k: (hashlib.md5(f"9:{k}".encode()).hexdigest(), k)):
+            taken[k] = whole + (start + size[k] / 2 <= target - whole * total[n])
+            start += size[k]
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    scratch = Scratch(spark)
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:3], left, strict=True):
+        docs = scratch.keep(stage(spark, docs, str(tmp_path)), name)
+        assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(want), name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == +taken and max(taken.values()) > 1
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = {k: array("I", library.encode(texts[k], add_special_tokens=False).ids).tobytes() for k in +taken}
+    assert all(r.exact and bytes(r.ids) == ids[r.doc_id] and r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() for r in out)
