@@ -322,43 +322,44 @@ def match_map(spark, sf_dir):
     return m.select("l_orderkey", F.map_keys("m").alias("flags"), F.map_values("m").alias("lines"))
 
 
-SOURCES = """
-VALUES ('a/b', 'tests/test_a.py', 'import openai\ndef test_x(client):\n    client.chat.completions.create()\nclass T:\n    async def test_m(self):\n        mock()\n'),
-       ('a/b', 'tests/test_b.py', 'def test_plain():\n    assert 1\n'),
-       ('c/d', 'test_bad.py', 'def test_(:\n'),
-       ('c/d', 'x/test_c.py', 'from .ragas import q\ndef test_run():\n    def test_in():\n        q.stream\n')
-AS t(full_name, path, content)
-"""
-
-
-def _files(spark):
-    return spark.sql(f"SELECT *, 200 AS status FROM {SOURCES.strip()}")
+def _files(spark, sf_dir):
+    """Every document as a Python test file: its text is a literal of a test, its language names the module, ten are a repository."""
+    d = table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    module = F.when(F.col("lang") == "en", "openai").when(F.col("lang") == "de", "ragas").otherwise("json")
+    said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
+    content = F.concat(
+        F.lit("import "), module, F.lit("\n\n\ndef test_"), number, F.lit("(client):\n    said = "), said,
+        F.lit("\n    assert client.chat.completions.create(said)\n\n\nclass T:\n    async def test_m(self):\n        mock()\n"),
+    )
+    name = F.concat(F.lit("documents/"), F.expr("doc_id div 10").cast("string"))
+    return d.select(name.alias("full_name"), F.concat(F.lit("tests/test_"), number, F.lit(".py")).alias("path"), content.alias("content"), F.lit(200).alias("status"))
 
 
 @query()
 def py_tests_extract(spark, sf_dir):
     register(spark)
-    return analysis.extracted(_files(spark))
+    return analysis.extracted(_files(spark, sf_dir))
 
 
 @query()
 def py_imports(spark, sf_dir):
     register(spark)
-    _files(spark).createOrReplaceTempView("oresieve_files")
+    _files(spark, sf_dir).createOrReplaceTempView("oresieve_files")
     return spark.sql("SELECT full_name, path, py_imports(content) AS imports FROM oresieve_files")
 
 
 @query()
 def llm_classify(spark, sf_dir):
     register(spark)
-    tests = analysis.classified(analysis.extracted(_files(spark)))
+    tests = analysis.classified(analysis.extracted(_files(spark, sf_dir)))
     return tests.select("full_name", "path", "name", "is_llm")
 
 
 @query()
 def extracted_documents(spark, sf_dir):
     register(spark)
-    files = _files(spark)
+    files = _files(spark, sf_dir)
     tests = analysis.classified(analysis.extracted(files))
     repositories = files.select("full_name").distinct().withColumn("html_url", F.concat(F.lit("https://example.org/"), "full_name"))
     return extraction.application_documents(tests, analysis.repository_counts(repositories, files, tests))

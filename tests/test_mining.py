@@ -169,3 +169,18 @@ def test_entry_points(spark):
     assert {*oracles} <= {*queries} and len(queries) >= 30
     assert entry.entry(spark).count() > 0
     assert F.col("x") is not None
+
+
+def test_source_queries_run_over_all_documents(spark, tmp_path):
+    from oresieve.plans.analogues import QUERIES
+
+    texts = ["a 'quoted\" text\\ of\nlines", None, "", "a mock", *(f"text {k}" for k in range(26))]
+    rows = [(k, t, ["en", "fr", None][k % 3], "s", 1) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in ("py_tests_extract", "py_imports", "llm_classify", "extracted_documents")}
+    assert sorted(r.name for r in got["py_tests_extract"]) == sorted([*(f"test_{k}" for k in range(30)), *["test_m"] * 30]) and all(r.parse_ok for r in got["py_tests_extract"])
+    assert {r.path: r.imports for r in got["py_imports"]} == {f"tests/test_{k}.py": ["json" if k % 3 else "openai"] for k in range(30)}
+    called = {f"test_{k}" for k in range(0, 30, 3)} - {"test_3"}
+    assert {r.name for r in got["llm_classify"] if r.is_llm} == called and len(got["llm_classify"]) == 60
+    content = {r.full_name: r.content for r in got["extracted_documents"]}
+    assert {*content} == {"documents/0", "documents/1", "documents/2"} and sum(c.count("\ndef test_") for c in content.values()) == len(called)
