@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only for sessions that name no spark.checkpoint.dir (tests on one machine).
+#: Only for sessions on one machine (tests, the bench) that name no spark.checkpoint.dir.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/oresieve"
 #: Rows of a table that may be broadcast; a row of ours is under 100 bytes, so this is under 20 MB.
 BROADCAST_ROWS = 200_000
@@ -17,19 +18,39 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one is set only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Unset, a local one is set on one machine; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where all tables of this application are, so that clean() can remove them together."""
+    return f"{shared_folder(spark)}/oresieve-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables of all operators of this application; their results must have been written or read before."""
+    remove(spark, session_folder(spark))
+
+
 class Scratch:
-    """Tables written to the shared folder in the course of one operator: they cut lineage, and losing an executor loses nothing."""
+    """Tables written to the shared folder in the course of one operator: they cut lineage, and losing an executor loses nothing.
+
+    A result is read from them when its action runs, so an operator drops only those that its result does not read; clean() drops the rest.
+    """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/oresieve-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{session_folder(spark)}/{uuid.uuid4().hex}"
         self.count = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -44,12 +65,14 @@ class Scratch:
         """Removes a table that keep() wrote and that nothing reads any more."""
         path = getattr(df, "_scratch", None)
         if path:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove(self.spark, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Holds Arrow batches to few rows, as one text may be very long: a Python worker then holds a bounded part of a partition."""
+    """Holds Arrow batches to few rows, as one text may be very long: a Python worker then holds a bounded part of a partition.
+
+    This setting of the session stays, as a result's batches are made when its action runs, after the operator has returned.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
