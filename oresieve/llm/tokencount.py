@@ -3,8 +3,9 @@
 A state of the transducer is all that later tokens of a word can depend on: where the suffix automaton over the vocabulary
 stands, and for each place that a later token may reach back to, the last token and the count there. A transition is
 annotated with the tokens that it emits: the count after the symbol less the count before it, below zero where a longer
-token replaces several. States and transitions are compiled as texts need them. Texts are cut into chunks; each chunk is a
-map from what stands before it to a count and what is left open, and the maps compose by a parallel prefix scan.
+token replaces several. States and transitions are compiled as texts need them. Long texts are cut into chunks, also inside
+words; each chunk is a map from the state before it to the state after it and the tokens emitted between, and the maps compose
+by a parallel prefix scan.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,9 +24,18 @@ from .shared import file_bytes, small_batches
 
 #: Transitions that a worker holds; beyond, it compiles anew. Characters of a chunk of text.
 MOST_TRANSITIONS, CHUNK_CHARS = 1_000_000, 1 << 15
+#: Characters before a chunk from which the state at its start is foretold; a map is run anew for a state that was not.
+LOOK_BACK = 24
+#: Letters whose lower case is one letter and that nothing before them changes, and these with digits and white space.
+#: Between four of the latter no contraction ends, and whether a word goes on is known from the two characters around the cut.
+LETTERS = "a-zA-Z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+PLAIN = LETTERS + "0-9 \\n\\t"
 #: Fixed value: the public pattern that this vocabulary splits words by.
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 
+#: The state before a word.
+START = (0, (-1,), (0,))
+
 
 class Transducer:
     """Reads a word's symbols one by one and emits how many tokens each adds."""
@@ -55,8 +64,8 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple] = [(0, (-1,), (0,))]
-        self.number = {self.states[0]: 0}
+        self.states: list[tuple] = [START]
+        self.number = {START: 0}
         self.steps: dict[int, tuple[int, int]] = {}
 
     def _renewed(self, state: int) -> int:
@@ -99,32 +108,85 @@ class Transducer:
             self.states.append(key)
         return self.number[key], emitted
 
-    def count(self, word: bytes) -> int:
-        """Tokens of a word. Its last byte is read as the symbol that ends a word, where the vocabulary has such."""
-        state = total = 0
-        steps, last = self.steps, len(word) - 1 if self.merges.suffix else len(word)
-        for k, byte in enumerate(word):
-            key = state << 9 | (byte + 256 if k == last else byte)
-            step = steps.get(key)
+    def run(self, before: tuple, symbols) -> tuple[tuple, int]:
+        """The state that symbols lead to from a state, and the tokens emitted on the way."""
+        state, total = self.number.get(before, -1), 0
+        if state < 0:
+            state = self.number[before] = len(self.states)
+            self.states.append(before)
+        steps = self.steps
+        for symbol in symbols:
+            step = steps.get(state << 9 | symbol)
             if step is None:
                 if len(steps) >= MOST_TRANSITIONS:
                     state, steps = self._renewed(state), self.steps
-                    key = state << 9 | key & 511
-                step = steps[key] = self._compile(state, key & 511)
+                step = steps[state << 9 | symbol] = self._compile(state, symbol)
             state = step[0]
             total += step[1]
-        return total
+        return self.states[state], total
 
+    def symbols(self, word: bytes):
+        """A whole word's symbols: its last byte is the one that ends a word, where the vocabulary has such."""
+        return [*word[:-1], word[-1] + 256] if self.merges.suffix and word else word
 
-class ChunkMap(NamedTuple):
-    """What a chunk does to any state before it: `head` finishes the open word, `count` follows, `tail` is left open.
+    def count(self, word: bytes) -> int:
+        """Tokens of a word."""
+        return self.run(START, self.symbols(word))[1]
 
-    count None: the chunk has no white space, so that all of it (head) goes on with the open word.
+
+class ChunkMap:
+    """What a chunk does to the transducer: called with the state before it, it gives the state after it and the tokens emitted.
+
+    head: the symbols that go on with an open word, to its end or to the chunk's (inside); then, from the start state, come `count` tokens
+    and the symbols of a word left open. Results are remembered for the states met. Called with more maps, the chunk is all of them.
     """
 
-    head: str
-    count: int | None
-    tail: str
+    __slots__ = ("transducer", "parts", "head", "inside", "count", "tail", "known")
+
+    def __init__(self, transducer: Transducer, head=b"", inside: bool = False, count: int = 0, tail=b"", parts: tuple = ()):
+        self.transducer, self.parts, self.head, self.inside = transducer, parts, head, inside
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+        self.tail, emitted = transducer.run(START, tail) if tail else (START, 0)
+        self.count = count + emitted
+
+    def __call__(self, before: tuple) -> tuple[tuple, int]:
+        found = self.known.get(before)
+        if found is None:
+            if self.parts:
+                after, found = before, 0
+                for part in self.parts:
+                    after, emitted = part(after)
+                    found += emitted
+                found = after, found
+            else:
+                after, emitted = self.transducer.run(before, self.head) if len(self.head) else (before, 0)
+                found = (after, emitted) if self.inside else (self.tail, emitted + self.count)
+            self.known[before] = found
+        return found
+
+
+def compose(a: ChunkMap, b: ChunkMap) -> ChunkMap:
+    """The map of a and then b, for all states that a has met; associative."""
+    both = ChunkMap(a.transducer, parts=(a, b))
+    for state in a.known:
+        both(state)
+    return both
+
+
+def scan(maps: list[ChunkMap]) -> list[ChunkMap]:
+    """All prefixes' maps, by a scan of logarithmic depth: pairs compose first, then the halves' prefixes fill the gaps."""
+    if len(maps) < 2:
+        return list(maps)
+    halves = scan([compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
+    return [halves[k // 2] if k % 2 else compose(halves[k // 2 - 1], m) if k else m for k, m in enumerate(maps)]
+
+
+def composed(maps: list[ChunkMap]) -> ChunkMap:
+    """The map of all, by the scan's upward half: neighbours compose until one is left."""
+    while len(maps) > 1:
+        odd = maps[len(maps) // 2 * 2 :]
+        maps = [compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)] + odd
+    return maps[0]
 
 
 class WordCounter:
@@ -138,8 +200,10 @@ class WordCounter:
         self.transducer = Transducer(Merges(spec))
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, added)))
+        self.longest = max(map(len, added), default=0)
         self.pattern = regex.compile(WORD_PATTERN)
         self.white = re.compile(f"[{WHITE}]+")
+        self.plain, self.letter = re.compile(f"[{PLAIN}]{{4}}"), re.compile(f"[{LETTERS}]")
         #: Python's split() also cuts at these four; the vocabulary does not.
         self.separators = re.compile("[\x1c-\x1f]")
         self.words = Memo(lambda w: self.transducer.count(w.encode()))
@@ -154,54 +218,76 @@ class WordCounter:
                 return self.run[run[:-1]] + self.words[run[-1]]
         words = self.words
         total = -1
-        for part in self.special.split(run):
-            low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            total += 1 + sum([words[w] for w in self.pattern.findall(low)])
+        for part in self._split(run):
+            total += 1 + sum([words[w] for w in part])
         return total
 
+    def _split(self, run: str) -> list[list[str]]:
+        """The words of a run, in a list for each stretch between special tokens."""
+        return [self.pattern.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()) for part in self.special.split(run)]
+
     def _runs(self, text: str) -> list[str]:
         if self.separators.search(text):
             return [r for r in self.white.split(text) if r]
         return text.split()
 
-    def map(self, chunk: str) -> ChunkMap:
-        first = self.white.search(chunk)
-        if first is None:
-            return ChunkMap(chunk, None, "")
-        end = len(chunk)
-        while not self.white.match(chunk, end - 1):
-            end -= 1
-        return ChunkMap(chunk[: first.start()], sum(map(self.run.__getitem__, self._runs(chunk[first.end() : end]))), chunk[end:])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """The map of a chunk made of a and then b; associative."""
-        if a.count is None:
-            return ChunkMap(a.head + b.head, b.count, b.tail)
-        if b.count is None:
-            return ChunkMap(a.head, a.count, a.tail + b.head)
-        between = a.tail + b.head
-        return ChunkMap(a.head, a.count + (self.run[between] if between else 0) + b.count, b.tail)
-
-    def total(self, m: ChunkMap) -> int:
-        """The tokens of a text whose map this is: before and after it nothing stands."""
-        return (self.run[m.head] if m.head else 0) + (m.count or 0) + (self.run[m.tail] if m.tail else 0)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """All prefixes' maps, by a scan of logarithmic depth: pairs compose first, then the halves' prefixes fill the gaps."""
-        if len(maps) < 2:
-            return list(maps)
-        halves = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
-        return [halves[k // 2] if k % 2 else self.compose(halves[k // 2 - 1], m) if k else m for k, m in enumerate(maps)]
+    def cuts(self, text: str, chunk_chars: int) -> list[int]:
+        """Where chunks begin: after chunk_chars characters or the next place where four plain ones meet, outside of special tokens."""
+        out, at = [0], chunk_chars
+        while at < len(text) and (m := self.plain.search(text, max(at - 3, out[-1]))):
+            at = m.start() + 3
+            first = max(0, at - self.longest)
+            if self.longest and any(first + x.start() < at < first + x.end() for x in self.special.finditer(text[first : at + self.longest])):
+                at += 1
+                continue
+            out.append(at)
+            at += chunk_chars
+        return out
+
+    def maps(self, text: str, chunk_chars: int = CHUNK_CHARS) -> list[ChunkMap]:
+        """A map for each chunk, already run from the state that the characters before it foretell."""
+        starts = self.cuts(text, chunk_chars)
+        ends = [*starts[1:], len(text)]
+        goes_on = [bool(self.letter.match(text, c - 1) and self.letter.match(text, c)) for c in starts[1:]]
+        out, foretold = [], START
+        for a, b, before, after in zip(starts, ends, [False, *goes_on], [*goes_on, False], strict=True):
+            chunk = self._map(text[a:b], before, after)
+            chunk(foretold)
+            out.append(chunk)
+            foretold = START
+            if after:
+                word = self.pattern.findall(unicodedata.normalize("NFC", text[max(a, b - LOOK_BACK) : b]).replace("Σ", "σ").lower())[-1]
+                foretold = self.transducer.run(START, word.encode())[0]
+        return out
+
+    def _map(self, chunk: str, before: bool, after: bool) -> ChunkMap:
+        runs, symbols = self._runs(chunk), self.transducer.symbols
+        head = tail = b""
+        count = 0
+        if before or after:
+            first, last = self._split(runs[0]), self._split(runs[-1])
+            if before and after and len(runs) == len(first) == len(first[0]) == 1:
+                return ChunkMap(self.transducer, first[0][0].encode(), True)
+            if len(runs) == 1:
+                last = first
+            if before:
+                head = symbols(first[0].pop(0).encode())
+            if after:
+                tail = last[-1].pop().encode()
+            for parts in [first] if first is last else [first, last]:
+                count += len(parts) - 1 + sum(self.words[w] for part in parts for w in part)
+            runs = runs[1:-1]
+        return ChunkMap(self.transducer, head, False, count + sum(map(self.run.__getitem__, runs)), tail)
 
     def prefix_counts(self, text: str, chunk_chars: int = CHUNK_CHARS) -> list[int]:
-        """The tokens of the text up to the end of each chunk."""
-        maps = [self.map(text[k : k + chunk_chars]) for k in range(0, len(text), chunk_chars)]
-        return [self.total(m) for m in self.scan(maps)]
+        """The tokens of the text up to the end of each chunk; of a word that goes on there, those of its part so far."""
+        return [m(START)[1] for m in scan(self.maps(text, chunk_chars))]
 
-    def count(self, text: str) -> int:
-        if len(text) <= CHUNK_CHARS:
+    def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
+        """The tokens of a text. A text of one chunk has no state before it but the start."""
+        if len(text) <= chunk_chars:
             return sum(map(self.run.__getitem__, self._runs(text)))
-        return self.prefix_counts(text)[-1]
+        return composed(self.maps(text, chunk_chars))(START)[1]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", n_bytes: str = "n_bytes", n_tokens: str = "n_tokens") -> DataFrame:
