@@ -8,11 +8,11 @@ from html.entities import html5
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, named, small_batches
+from .shared import Scratch, named, sized, small_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Elements that name an address: of the page itself, or the one that others are relative to.
@@ -57,13 +57,34 @@ def key_of(url: Column) -> Column:
     return F.when(host_of(url) != "", key)
 
 
-def _pick(host: Column, path: Column, rules: list[Rule], value) -> Column:
-    """The value of the longest rule that fits, else null; of equal length, the first by name."""
-    out = None
-    for r in sorted(rules, key=lambda r: (-len(r.name), r.name)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        out = F.when(fits, F.lit(value(r))) if out is None else out.when(fits, F.lit(value(r)))
-    return F.lit(None) if out is None else out
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(rule_host, rules): for each host that rules name, its rules as (rank, path, name, verdict); the least rank is the longest name."""
+    rows = [(r.host, r.path, r.name, "allow" if r.allow else "block") for r in rules]
+    table = spark.createDataFrame(rows, "rule_host string, path string, name string, verdict string").where("rule_host <> ''")
+    one = F.struct((-F.length("name")).alias("rank"), "name", "verdict", "path")
+    return table.groupBy("rule_host").agg(F.collect_set(one).alias("rules"))
+
+
+def host_rules(hosts: DataFrame, table: DataFrame, scratch: Scratch, host: str = "host") -> DataFrame:
+    """(host, rules): for each host that some rule fits, the rules of its own name and of all domains above, longest first.
+
+    Hosts are made different first, on the map side, and looked up by each of their domains, so that neither the number of rules nor that
+    of pages is in any expression or list; a list holds the rules that name one of a host's domains.
+    """
+    different = hosts.select(F.col(host).alias("host")).where("host <> ''").distinct()
+    parts = F.split("host", "\\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    found = different.withColumn("rule_host", F.explode(F.array_distinct(above))).join(table, "rule_host")
+    return scratch.keep(found.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("rules"))).alias("rules")), "host-rules")
+
+
+def ruled(rows: DataFrame, rules: DataFrame, host: str, path: str, rule: str, verdict: str) -> DataFrame:
+    """Adds the name and the verdict of the longest rule that fits a host and path, else nulls; of equal length, the first by name."""
+    h, r = named("rule_host", rows.columns), named("rules", rows.columns)
+    rules = rules.select(F.col("host").alias(h), F.col("rules").alias(r))
+    joined = rows.join(sized(rules, rules.count()), rows[host] == rules[h], "left")
+    first = F.get(F.filter(F.col(r), lambda x: F.startswith(F.col(path), x["path"])), F.lit(0))
+    return joined.select(*(c for c in rows.columns), first["name"].alias(rule), first["verdict"].alias(verdict))
 
 
 def _decoded(value: str) -> str:
@@ -118,7 +139,10 @@ def targets(url: str, html: str) -> list[str]:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): the keys of a page and of the address that its canonical link or refresh names, relative ones resolved."""
+    """(a, b): the keys of a page and of the address that its canonical link or refresh names, relative ones resolved.
+
+    Pages without a url or html, and links to the page itself or without a host, give none; repeated rows give repeated links.
+    """
     small_batches(pages.sparkSession)
 
     def run(batches):
@@ -139,6 +163,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str | Non
     and `dst`) and canonical links join are one class: a class with a blocked member is blocked for its members without a
     rule, unless a member is explicitly allowed, which wins. All others are allowed. Links may name pages outside the table;
     rules hold for these too. Null urls have empty host and path and are allowed. Repeated rows stay, each with its verdict.
+    Rules are a table that different hosts are joined with, so that their number is not in the plan; they are broadcast if they are few.
     The classes are found by joins on edges; a page joins its class by its key, which AQE splits if one key is hot.
     """
     scratch = Scratch(pages.sparkSession)
@@ -155,18 +180,16 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str | Non
     out = pages.withColumn(named("u", pages.columns), u)
     u = F.col(named("u", pages.columns))
     out = out.select(*kept, u, host_of(u).alias("host"), path_of(u).alias("path"))
-    host, path = F.col("host"), F.col("path")
-    out = out.withColumn("rule", _pick(host, path, rules, lambda r: r.name).cast("string"))
-    out = out.withColumn(own, _pick(host, path, rules, lambda r: "allow" if r.allow else "block").cast("string"))
+    rules_of = rule_table(pages.sparkSession, rules)
+    out = ruled(out, host_rules(out, rules_of, scratch), "host", "path", "rule", own)
     found = None
     if edges is not None:
-        found = connected_components(edges, scratch)
-        found = scratch.keep(found, "classes")
+        found = scratch.keep(connected_components(edges, scratch), "classes")
     if found is None or found.isEmpty():
         return out.select(*kept, "host", "path", "rule", F.coalesce(own, F.lit("allow")).alias("verdict"))
     as_url = F.concat(F.lit("x://"), F.col("node"))
-    said = _pick(host_of(as_url), path_of(as_url), rules, lambda r: "allow" if r.allow else "block").cast("string")
-    members = found.select("node", "component", said.alias("said"))
+    members = found.select("node", "component", host_of(as_url).alias("host"), path_of(as_url).alias("path"))
+    members = ruled(members, host_rules(members, rules_of, scratch), "host", "path", "name", "said")
     classes = members.groupBy("component").agg(F.max((F.col("said") == "block").cast("int")).alias("b"), F.max((F.col("said") == "allow").cast("int")).alias("w"))
     blocked = classes.where("b = 1 and coalesce(w, 0) = 0").select("component", F.lit("block").alias(cls))
     by_node = scratch.keep(members.join(blocked, "component").select(F.col("node").alias(named("node", pages.columns)), cls), "blocked")
