@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Memo
-from .shared import named, small_batches
+from .shared import Scratch, named, small_batches
 
 THRESHOLD = 0.3
 #: The most labelled documents of each class that the classifier is fitted on, taken in the order of a hash of doc_id.
@@ -24,6 +24,9 @@ BEGINNINGS = (4, 5)
 #: Evidence for toxicity: a feature is used if in so many toxic documents, and if its share of them is higher than of the others by so
 #: many standard errors and so much.
 LEAST_DOCS, LEAST_ERRORS, LEAST_RATIO = 4, 4.0, 3.0
+#: The most features that are used, strongest first, and the most (sentence, feature) counts of a document that the fit sees, strongest
+#: sentences first: with the number of documents these bound what comes to the driver, however long texts are.
+MOST_FEATURES, MOST_COUNTS = 20_000, 1_000
 #: Log odds of a sentence without evidence, which its score is measured from; steps of the fit; weights below are 0.
 BACKGROUND, STEPS, RATE, SHRINK = -5.0, 300, 0.15, 2e-4
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -57,60 +60,95 @@ def chance(odds):
     return np.maximum(0.0, (1 / (1 + np.exp(-np.clip(odds + BACKGROUND, -50, 50))) - base) / (1 - base))
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+class Counted(NamedTuple):
+    """What the fit sees of a document: its label, and for each sentence with evidence the number of times that it has each feature."""
+
+    label: int
+    sentences: list[dict[int, int]]
+
+
+def strength(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float | None:
+    """How many standard errors a feature's share of toxic documents is above its share of the others; None if it is not evidence enough."""
+    p1, p0, pooled = (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1), min((toxic + clean + 0.5) / (n_toxic + n_clean + 1), 0.999)
+    errors = (p1 - p0) / math.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean))
+    return errors if toxic >= LEAST_DOCS and errors >= LEAST_ERRORS and p1 / p0 >= LEAST_RATIO else None
+
+
+def chosen_features(counts, n_toxic: int, n_clean: int, most: int = MOST_FEATURES) -> dict[str, float]:
+    """The features that are evidence, in a fixed order, each with the weight that the fit starts from. counts: (feature, toxic, clean)."""
+    found = [(-e, f, t, c) for f, t, c in counts if (e := strength(t, c, n_toxic, n_clean)) is not None]
+    return {f: min(math.log((t + 0.5) / (n_toxic + 1) * (n_clean + 1) / (c + 0.5)), 1) for _, f, t, c in sorted(found)[:most]}
+
+
+def counted(text: str, label: int, chosen: dict[str, int], most: int = MOST_COUNTS) -> Counted:
+    """A document's sentences with chosen features, those with the most kinds first, as long as their counts are within the bound."""
+    columns = Memo(lambda w: [chosen[f] for f in features(w) if f in chosen])
+    sentences = []
+    for part in SENTENCE.split(text):
+        found = Counter()
+        for c in map(columns.__getitem__, part.split()):
+            found.update(c)
+        if found:
+            sentences.append(dict(sorted(found.items())[:most]))
+    sentences.sort(key=len, reverse=True)
+    out, room = [], most
+    for one in sentences:
+        room -= len(one)
+        if room < 0:
+            break
+        out.append(one)
+    return Counted(label, out)
+
+
+def slopes(w: np.ndarray, column: np.ndarray, count: np.ndarray, row: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The gradient, by weights, of the mean negative log likelihood of the documents' labels under the noisy-or of their sentences.
+
+    column, count, row: the features of sentences; owner: the document of each sentence; y: the documents' labels.
+    """
+    odds = np.bincount(row, w[column] * count, len(owner))
+    p = np.minimum(chance(odds), 1 - 1e-9)
+    none = np.exp(np.bincount(owner, np.log1p(-p), len(y)))
+    any_ = np.maximum(1 - none, 1e-6)
+    slope = 1 / (1 + np.exp(-np.clip(odds + BACKGROUND, -50, 50)))
+    slope = slope * (1 - slope) * (1 + np.exp(BACKGROUND)) / (1 - p)
+    pull = y * none / any_ - (1 - y)
+    return -np.bincount(column, (pull[owner] * slope)[row] * count, len(w)) / len(y)
+
+
+def fit_counts(docs: list[Counted], start: dict[str, float]) -> Model:
     """Fits weights by the gradient of the documents' likelihood under the noisy-or of their sentences.
 
-    Features are first screened by their documents in both classes. Sentences without any stay at a score of 0 and need no
-    place in the matrix. Deterministic for an order of the texts.
+    Sentences without any feature stay at a score of 0 and need no place. Deterministic for an order of the documents.
     """
-    y = np.array(labels, np.float64)
-    if len(y) == 0 or y.min() == y.max():
+    y = np.array([d.label for d in docs], np.float64)
+    sentences = [(d, one) for d, doc in enumerate(docs) for one in doc.sentences]
+    if not sentences or y.min() == y.max():
         return Model({})
-    toxic, clean = Counter(), Counter()
-    for text, label in zip(texts, labels, strict=True):
-        (toxic if label else clean).update({f for w in set(text.split()) for f in features(w)})
-    n1, n0 = y.sum(), (1 - y).sum()
-    chosen: dict[str, int] = {}
-    start = []
-    for f, t in toxic.items():
-        c = clean[f]
-        p1, p0, pooled = (t + 0.5) / (n1 + 1), (c + 0.5) / (n0 + 1), min((t + c + 0.5) / (n1 + n0 + 1), 0.999)
-        errors = (p1 - p0) / math.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-        if t >= LEAST_DOCS and errors >= LEAST_ERRORS and p1 / p0 >= LEAST_RATIO:
-            chosen[f] = len(chosen)
-            start.append(min(math.log(p1 / p0), 1))
-    del toxic, clean
-    columns = Memo(lambda w: [chosen[f] for f in features(w) if f in chosen])
-    doc, sentence, column = [], [], []
-    for d, text in enumerate(texts):
-        for k, part in enumerate(SENTENCE.split(text)):
-            for c in map(columns.__getitem__, part.split()):
-                if c:
-                    column += c
-                    doc += [d] * len(c)
-                    sentence += [k] * len(c)
-    if not column:
-        return Model({})
-    doc, sentence, column = np.array(doc), np.array(sentence), np.array(column)
-    place = doc * (sentence.max() + 1) + sentence
-    places, row = np.unique(place, return_inverse=True)
-    owner = places // (sentence.max() + 1)
-    size = len(chosen)
-    w = np.array(start, np.float64)
-    first, second = np.zeros(size), np.zeros(size)
+    owner = np.array([d for d, _ in sentences])
+    row = np.repeat(np.arange(len(sentences)), [len(one) for _, one in sentences])
+    column = np.array([c for _, one in sentences for c in one])
+    count = np.array([n for _, one in sentences for n in one.values()], np.float64)
+    w = np.array(list(start.values()), np.float64)
+    first, second = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, STEPS + 1):
-        odds = np.bincount(row, w[column], len(places))
-        p = np.minimum(chance(odds), 1 - 1e-9)
-        none = np.exp(np.bincount(owner, np.log1p(-p), len(y)))
-        any_ = np.maximum(1 - none, 1e-6)
-        slope = 1 / (1 + np.exp(-np.clip(odds + BACKGROUND, -50, 50)))
-        slope = slope * (1 - slope) * (1 + np.exp(BACKGROUND)) / (1 - p)
-        pull = y * none / any_ - (1 - y)
-        g = -np.bincount(column, (pull[owner] * slope)[row], size) / len(y) + 1e-5 * w
+        g = slopes(w, column, count, row, owner, y) + 1e-5 * w
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         w = np.sign(w) * np.maximum(np.abs(w) - SHRINK, 0)
-    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 0.05})
+    return Model({f: float(x) for f, x in zip(start, w, strict=True) if abs(x) > 0.05})
+
+
+def fit(texts: list[str], labels: list[int]) -> Model:
+    """The model of texts at hand."""
+    sums = {0: Counter(), 1: Counter()}
+    for text, label in zip(texts, labels, strict=True):
+        sums[label].update({f for w in set(text.split()) for f in features(w)})
+    n_toxic = sum(labels)
+    if n_toxic in (0, len(labels)):
+        return Model({})
+    start = chosen_features(((f, t, sums[0][f]) for f, t in sums[1].items()), n_toxic, len(labels) - n_toxic)
+    numbers = {f: k for k, f in enumerate(start)}
+    return fit_counts([counted(t, y, numbers) for t, y in zip(texts, labels, strict=True)], start)
 
 
 def score(model_word, text: str) -> tuple[float, list[tuple[int, int, float]]]:
@@ -134,27 +172,57 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> tuple[list[str], list[int]]:
-    """The texts and labels of at most most_toxic + most_clean documents, in a fixed order. Held-out rows are none of them.
+def training_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
+    """(key, label, text) of at most most_toxic + most_clean documents, written to the shared folder. Held-out rows are none of them.
 
-    Ids are chosen among the labels, in the order of a hash; their bounded list is broadcast to one scan of the documents.
+    Ids, of any type, are chosen among the labels, in the order of a hash; their bounded list is broadcast to one scan of the documents.
     Of rows that share a doc_id the least text counts, so that the bound holds however often a document is repeated.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("key", F.xxhash64("doc_id"))
-    chosen = [rows.where(c).orderBy("key").limit(n) for c, n in (("toxic = 1", most_toxic), ("toxic = 0", most_clean))]
-    ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("l_id"), F.col("toxic").alias("l_toxic"))
-    ids = docs.sparkSession.createDataFrame(ids.toPandas().astype({"l_id": "int64", "l_toxic": "int32"}), "l_id long, l_toxic int")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).groupBy("l_id", "l_toxic").agg(F.min("text").alias("l_text")).collect()
-    found.sort()
-    return [r[2] for r in found], [r[1] for r in found]
+    rows = rows.groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").cast("int").alias("label")).withColumn("key", F.xxhash64("l_id"))
+    chosen = [rows.where(c).orderBy("key", "l_id").limit(n) for c, n in (("label = 1", most_toxic), ("label = 0", most_clean))]
+    ids = scratch.keep(chosen[0].unionByName(chosen[1]), "sample-ids")
+    texts = docs.select(F.col("doc_id").alias("d_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(ids), F.col("d_id") == F.col("l_id")).groupBy("l_id", "key", "label").agg(F.min("text").alias("text"))
+    return scratch.keep(found.select("key", "label", "text"), "sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
-    """The classifier of a corpus: fitted on a bounded sample of its labelled documents."""
-    small_batches(docs.sparkSession)
-    return fit(*training_sample(docs, labels, most_toxic, most_clean))
+    """The classifier of a corpus: fitted on a bounded sample of its labelled documents.
+
+    Features are counted and screened where the texts are; the driver gets the chosen ones and their counts by sentence, no text.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    sample = training_sample(docs, labels, Scratch(spark), most_toxic, most_clean)
+    sizes = {r[0]: r[1] for r in sample.groupBy("label").agg(F.count(F.lit(1))).collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return Model({})
+
+    def kinds(batches):
+        for batch in batches:
+            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = sorted({f for w in set(text.split()) for f in features(w)})
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.string())], names=["label", "feature"])
+
+    counts = sample.mapInArrow(kinds, "label int, feature string").groupBy("feature").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    n1, n0 = sizes[1], sizes[0]
+    p1, p0, pooled = (F.col("t") + 0.5) / (n1 + 1), (F.col("c") + 0.5) / (n0 + 1), F.least((F.col("t") + F.col("c") + 0.5) / (n1 + n0 + 1), F.lit(0.999))
+    errors = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+    # the same screen as strength(), so that no more rows come to the driver than are used
+    strong = counts.where((F.col("t") >= LEAST_DOCS) & (errors >= LEAST_ERRORS) & (p1 / p0 >= LEAST_RATIO)).orderBy(errors.desc(), "feature").limit(MOST_FEATURES)
+    start = chosen_features(map(tuple, strong.collect()), n1, n0)
+    numbers = spark.sparkContext.broadcast({f: k for k, f in enumerate(start)})
+
+    def sentences(batches):
+        for batch in batches:
+            rows = [counted(t, y, numbers.value).sentences for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            said = [[[x for pair in one.items() for x in pair] for one in r] for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.list_(pa.list_(pa.int32())))], names=["key", "label", "sentences"])
+
+    rows = sample.mapInArrow(sentences, "key long, label int, sentences array<array<int>>").collect()
+    rows.sort(key=tuple)
+    return fit_counts([Counted(label, [dict(zip(x[::2], x[1::2], strict=True)) for x in said]) for _, label, said in rows], start)
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "score", spans: str = "offending") -> DataFrame:
@@ -183,6 +251,9 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "scor
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text scores below the threshold, with the input's columns. The classifier is fitted on these documents."""
+    """The rows whose text scores below the threshold, with the input's columns. The classifier is fitted on these documents.
+
+    A null or empty text scores 0 and stays; repeated rows all stay or all go; without labels of both kinds all rows stay.
+    """
     found, spans = named("score", docs.columns), named("offending", docs.columns)
     return toxicity(docs, train(docs, labels), out=found, spans=spans).where(F.col(found) < threshold).select(*docs.columns)
