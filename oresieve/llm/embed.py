@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by collision counting over one-dimensional projections, of which one is sorted, after public work on query-aware hashing."""
+"""Embedding near-duplicates by collision counting over sorted one-dimensional projections, after public work on query-aware hashing."""
 
 from __future__ import annotations
 
@@ -16,8 +16,11 @@ THRESHOLD = 0.93
 #: Projections; half width of a window in standard deviations of the difference of two vectors that just link; the part of such
 #: pairs that the count must let through; seed of the directions.
 PROJECTIONS, WIDTH, RECALL, SEED = 32, 2.5, 1 - 1e-7, 2
-#: Vectors of a block, and queries that are counted at once.
-BLOCK, QUERIES = 2048, 128
+#: How far a query looks along a sorted projection, in the same deviations: of pairs that link one in ten million is farther apart.
+REACH = 5.33
+#: Vectors of a block, and queries that are counted at once. A label has MOST_COPIES blocks, and as many copies of each vector, until
+#: blocks of BLOCK_BYTES are not enough.
+BLOCK, QUERIES, MOST_COPIES, BLOCK_BYTES = 2048, 128, 64, 32_000_000
 SCALE = 2048
 
 
@@ -43,8 +46,9 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def linked_pairs(left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, same: bool = False):
     """Yields (i, j) arrays of all pairs found with a cosine of the threshold or more, j > i if left and right are the same.
 
-    The first direction sorts both sides: a query meets only the run of vectors whose projection is near enough on it. In the run,
-    the windows around the query's projections count collisions on every direction, and pairs with the calibrated count are verified.
+    The right side is sorted by every projection. A query takes the one on which it lies farthest out, as the fewest vectors are near
+    there, and with others of that projection meets the run of vectors within reach. In the run, the windows around its own
+    projections count collisions on every direction, and pairs with the calibrated count are verified.
     """
     if not len(left) or not len(right):
         return
@@ -52,31 +56,38 @@ def linked_pairs(left: np.ndarray, right: np.ndarray, threshold: float = THRESHO
     directions = np.random.default_rng(SEED).standard_normal((left.shape[1], PROJECTIONS))
     distance = math.sqrt(2 - 2 * threshold)
     window, least = math.ceil(WIDTH * distance * SCALE) + 1, calibrated_count()
-    reach = math.ceil(6 * distance * SCALE) + 1
+    reach = math.ceil(REACH * distance * SCALE) + 1
 
     def project(vectors):
         return np.clip(np.rint(vectors @ directions * SCALE), -15000, 15000).astype(np.int16)
 
     p, q = project(left), project(right)
-    by_left, by_right = np.argsort(p[:, 0], kind="stable"), np.argsort(q[:, 0], kind="stable")
-    q = np.ascontiguousarray(q[by_right].T)
-    for k in range(0, len(by_left), QUERIES):
-        query = by_left[k : k + QUERIES]
-        lo = np.searchsorted(q[0], int(p[query[0], 0]) - reach, "left")
-        hi = np.searchsorted(q[0], int(p[query[-1], 0]) + reach, "right")
-        if lo == hi:
-            continue
-        hits = np.zeros((len(query), hi - lo), np.uint8)
-        for d in range(PROJECTIONS):
-            hits += np.abs(q[d, lo:hi][None, :] - p[query, d][:, None]) <= window
-        a, b = np.nonzero(hits >= least)
-        i, j = query[a], by_right[lo:hi][b]
-        if same:
-            i, j = i[j > i], j[j > i]
-        for s in range(0, len(i), 1 << 16):
-            x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            true = np.einsum("ij,ij->i", left[x], right[y]) >= threshold
-            yield x[true], y[true]
+    middle = np.median(q, axis=0)
+    best = np.abs(p - middle).argmax(axis=1)
+    own = p[np.arange(len(p)), best].astype(np.int64)
+    queries = np.lexsort((own, own > middle[best], best))
+    for d in np.unique(best):
+        of = queries[best[queries] == d]
+        order = np.argsort(q[:, d], kind="stable")
+        sorted_ = np.ascontiguousarray(q[order].T)
+        for side in (own[of] > middle[d], own[of] <= middle[d]):
+            for k in range(0, int(side.sum()), QUERIES):
+                query = of[side][k : k + QUERIES]
+                lo = np.searchsorted(sorted_[d], own[query[0]] - reach, "left")
+                hi = np.searchsorted(sorted_[d], own[query[-1]] + reach, "right")
+                if lo == hi:
+                    continue
+                hits = np.zeros((len(query), hi - lo), np.uint8)
+                for e in range(PROJECTIONS):
+                    hits += np.abs(sorted_[e, lo:hi][None, :] - p[query, e][:, None]) <= window
+                a, b = np.nonzero(hits >= least)
+                i, j = query[a], order[lo:hi][b]
+                if same:
+                    i, j = i[j > i], j[j > i]
+                for s in range(0, len(i), 1 << 16):
+                    x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                    true = np.einsum("ij,ij->i", left[x], right[y]) >= threshold
+                    yield x[true], y[true]
 
 
 def _block_links(table: pa.Table) -> pa.Table:
@@ -131,20 +142,25 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
 
     Rows link if their labels are equal and not null and their vectors, of one length, have a cosine of 0.93 or more in double
     precision. Vectors that are null, zero or empty or hold null or non-finite components link with nothing, nor do rows without vec_id,
-    whose component_id is null. kept: the row's vec_id is the smallest of its component, or null.
+    whose component_id is null. vec_id is of any type that has an order; rows may share one, and are rows of their own.
+    kept: the row's vec_id is the smallest of its component, or null.
     Equal vectors of a label are one node with a number of copies, which links with itself as often: copies are never paired.
-    A label's nodes are dealt by hash to blocks of about `block`, and tasks take pairs of blocks, so that none holds a whole label.
+    A label's nodes are dealt by hash to blocks of about `block`, and tasks take pairs of blocks, so that none holds a whole label; blocks
+    grow before a vector is copied more than MOST_COPIES times.
     n_links counts rows; no list of links is made, and the edges that leave a task span its links, under two blocks' number.
     """
     scratch = Scratch(table.sparkSession)
     e = F.col("e")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = table.select(F.col(vec_id).cast("long").alias("vec"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("e"))
-    usable = F.col("vec").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0)
+    rows = table.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("e"))
+    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
     ok = rows.where("ok").drop("ok").withColumn("dim", F.size("e"))
-    nodes = scratch.keep(ok.groupBy("label", "dim", "e").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("copies")), "nodes")
-    groups = scratch.keep(nodes.groupBy(F.col("label").alias("g_label"), F.col("dim").alias("g_dim")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "labels")
+    nodes = ok.groupBy("label", "dim", "e").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = scratch.keep(nodes.withColumn("vec", F.monotonically_increasing_id()), "nodes")
+    n = F.count(F.lit(1))
+    blocks = F.least(F.ceil(n / block), F.greatest(F.lit(MOST_COPIES), F.ceil(n * F.first("dim") * 8 / BLOCK_BYTES)))
+    groups = scratch.keep(nodes.groupBy(F.col("label").alias("g_label"), F.col("dim").alias("g_dim")).agg(blocks.cast("int").alias("blocks")), "labels")
     dealt = nodes.join(sized(groups, groups.count()), (nodes.label == groups.g_label) & (nodes.dim == groups.g_dim))
     own = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -154,13 +170,10 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     found = connected_components(parts.where("vec != other"), scratch, "vec", "other")
     counts = parts.where("vec = other").groupBy("vec").agg(F.sum("links").alias("links"))
     joined = nodes.join(counts, "vec", "left").join(found.withColumnRenamed("node", "vec"), "vec", "left")
-    told = joined.select(
-        F.col("label").alias("n_label"),
-        F.col("e").alias("n_e"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "vec").alias("component_id"),
-    )
+    told = joined.select("label", "e", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component"))
     told = scratch.keep(told, "told")
-    out = rows.where("ok").join(told, (F.col("label") == F.col("n_label")) & (e == F.col("n_e"))).select("vec", "n_links", "component_id")
-    out = out.unionByName(rows.where("not ok").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id")))
-    return out.select(F.col("vec").alias(vec_id), "n_links", "component_id", F.col("vec").eqNullSafe(F.col("component_id")).alias("kept"))
+    first = scratch.keep(told.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id")), "components")
+    named_ = told.join(first, told.component == first.of).select(F.col("label").alias("n_label"), F.col("e").alias("n_e"), "n_links", "component_id")
+    out = rows.where("ok").join(named_, (F.col("label") == F.col("n_label")) & (e == F.col("n_e"))).select("id", "n_links", "component_id")
+    out = out.unionByName(rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(vec_id), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
