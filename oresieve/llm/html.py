@@ -1,21 +1,30 @@
-"""Main text of HTML pages: site templates found by counting element subtrees per host, and the rest by what elements are."""
+"""Main text of HTML pages: site templates found by counting element subtrees per host, and the rest by what elements are.
+
+Subtrees are hashed twice. With its text, a subtree that recurs is a notice, a footer or a button. Without it, by place, tags and names, with
+runs of equal children folded, one that recurs is a list of links whose texts differ from page to page: only subtrees of which half or
+more is link text count so, as articles recur in shape, too.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .shared import BROADCAST_ROWS, Scratch, named, small_batches
 from .urls import host_of
 
-#: A subtree is a template's if it is on so many different pages of a host and on so large a part of them.
+#: A subtree is a template's if it is on so many different pages of a host and on so large a part of them. On fewer pages chance
+#: repeats can't be told from templates.
 LEAST_PAGES, LEAST_SHARE = 12, 0.5
+#: The part of a subtree's text that links hold where it counts by its shape; the part of a page's paragraphs that articles hold at least.
+LINK_SHARE, ARTICLE_SHARE = 0.5, 0.25
 
 #: Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,6 +34,11 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that count by their shape: in an article only boxes, as its lists and tables are its own.
+BOXES = frozenset("aside div menu nav section".split())
+CONTAINERS = BOXES | frozenset("dl footer header ol table ul".split())
+#: What is no text whatever it is called.
+NO_TEXT = frozenset("canvas embed frameset head iframe noframes noscript object script style svg template title".split())
 DROPPED = frozenset(
     "applet aside audio button canvas dialog embed footer form frameset head iframe input map menu nav noframes noscript object"
     " script select style svg template textarea title video".split()
@@ -46,6 +60,8 @@ NO_ARTICLE = COMMENTS | frozenset("ad ads advert advertisement advertisements ad
 ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: What a head can hold; any other element, and text, ends a head that is open.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: What an article's own header keeps: its headings and leading paragraphs.
+IN_HEADER = HEADINGS | frozenset("div header hgroup p".split())
 KEEPS_P = frozenset("body html caption dd dt li td th tr tbody thead tfoot summary legend figcaption".split())
 
 MARKUP = re.compile(
@@ -58,10 +74,11 @@ NAME = re.compile(r"[a-z]+")
 class Element:
     """An element of a page: its tag, the attributes that say what it is for, and its children (elements and decoded text)."""
 
-    __slots__ = ("tag", "names", "named", "off", "children", "mark")
+    __slots__ = ("tag", "names", "named", "off", "children", "mark", "shape", "chars", "links")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children, self.mark = tag, [], 0
+        self.tag, self.children = tag, []
+        self.mark = self.shape = self.chars = self.links = 0
         self.names: frozenset[str] = frozenset()
         #: The words of NAMES in those classes and ids that hold no words but NAMES and PARTS.
         self.named: frozenset[str] = frozenset()
@@ -81,10 +98,36 @@ class Element:
             self.names, self.named = frozenset(names), frozenset(named)
 
 
+class Open:
+    """The elements that are open, and how many of each tag, so that none is looked for in a deep page that is not there."""
+
+    def __init__(self, root: Element):
+        self.elements, self.tags = [root], Counter()
+
+    def open(self, element: Element) -> None:
+        self.elements.append(element)
+        self.tags[element.tag] += 1
+
+    def cut(self, at: int) -> None:
+        self.tags.subtract(e.tag for e in self.elements[at:])
+        del self.elements[at:]
+
+    def close(self, tags, until) -> None:
+        """Ends the nearest open element of these tags, unless one of `until` is open inside it."""
+        if not any(self.tags[t] for t in tags):
+            return
+        for k in range(len(self.elements) - 1, 0, -1):
+            tag = self.elements[k].tag
+            if tag in tags:
+                return self.cut(k)
+            if tag in until:
+                return
+
+
 def parse(html: str) -> Element:
     """The tree of a page. Missing end tags are taken as browsers do for the elements of running text; what is open at the end closes."""
     root = Element("#page")
-    stack, at, end = [root], 0, len(html)
+    stack, at, end = Open(root), 0, len(html)
     while at < end:
         m = MARKUP.search(html, at)
         if m is None:
@@ -96,81 +139,105 @@ def parse(html: str) -> Element:
         if not tag:
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            stack.close((tag,), ())
             continue
         attributes = m[3] or m[6] or ""
         if tag == "body":
-            _close(stack, ("head",), ("body",))
-        elif stack[-1].tag == "head" and tag not in IN_HEAD:
-            del stack[-1:]
+            stack.close(("head",), ("body",))
+        elif stack.elements[-1].tag == "head" and tag not in IN_HEAD:
+            stack.cut(-1)
         if tag in BLOCKS and tag not in KEEPS_P:
-            _close(stack, ("p",), ("table", "td", "button"))
+            stack.close(("p",), ("table", "td", "button"))
         if tag in ENDS:
-            _close(stack, ENDS[tag][0].split(), ENDS[tag][1])
+            stack.close(ENDS[tag][0].split(), ENDS[tag][1])
         element = Element(tag, attributes)
-        stack[-1].children.append(element)
+        stack.elements[-1].children.append(element)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(html, at)
             if tag in ("title", "textarea"):
                 element.children.append(unescape(html[at : close.start()]))
             at = close.end()
         elif tag not in VOID and not (attributes.endswith("/") and tag == "svg"):
-            stack.append(element)
+            stack.open(element)
     if at < end:
         _text_in(stack, html[at:])
     return root
 
 
-def _text_in(stack: list[Element], text: str) -> None:
-    if stack[-1].tag == "head" and not text.isspace():
-        del stack[-1:]
-    stack[-1].children.append(unescape(text))
-
-
-def _close(stack: list[Element], tags, until) -> None:
-    """Ends the nearest open element of these tags, unless one of `until` is open inside it."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in until:
-            return
+def _text_in(stack: Open, text: str) -> None:
+    if stack.elements[-1].tag == "head" and not text.isspace():
+        stack.cut(-1)
+    stack.elements[-1].children.append(unescape(text))
 
 
-def _walk(root: Element):
-    """Elements after all elements that they hold."""
+def _down(root: Element) -> list[Element]:
+    """Elements before all elements that they hold."""
     todo, out = [root], []
     while todo:
         e = todo.pop()
         out.append(e)
         todo += [c for c in e.children if isinstance(c, Element)]
-    return reversed(out)
+    return out
+
+
+def _walk(root: Element):
+    """Elements after all elements that they hold."""
+    return reversed(_down(root))
+
+
+def _hash(*parts) -> int:
+    """64 bits as a signed number with the lowest bit off."""
+    value = xxh64_intdigest("\0".join(map(str, parts)).encode("utf-8", "replace")) & ~1
+    return value - (1 << 64) if value >= 1 << 63 else value
 
 
 def mark(root: Element) -> list[int]:
-    """Hashes every element's subtree (tag, names and text, white space aside) and returns the different hashes of those with text."""
-    found = set()
-    for e in _walk(root):
-        parts = [e.tag, " ".join(sorted(e.names))]
-        text = False
+    """Hashes every element's subtree and returns the different hashes of those with text: by text for all, by shape for lists of links.
+
+    By text: tag, names and text, white space aside; the lowest bit is 1. By shape: the way down to it, and tags and names inside,
+    where runs of equal children are one; the lowest bit is 0, and 0 stands for a subtree that does not count so.
+    """
+    down = _down(root)
+    inner: dict[Element, int] = {}
+    for e in reversed(down):
+        names = " ".join(sorted(e.names))
+        parts, shape = [e.tag, names], [e.tag, names]
+        chars = links = 0
         for c in e.children:
             if isinstance(c, Element):
                 parts.append(f"<{c.mark}")
-                text = text or bool(c.mark & 1)
+                chars += c.chars
+                links += c.links
+                if shape[-1] != inner[c]:
+                    shape.append(inner[c])
             elif words := c.split():
                 parts.append(" ".join(words))
-                text = True
-        digest = hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest()
-        # the lowest bit says whether the subtree has text; without any there is nothing to delete
-        e.mark = int.from_bytes(digest, "little", signed=True) & ~1 | text
-        if text:
+                chars += sum(map(len, words))
+        e.chars, e.links = chars, chars if e.tag == "a" else links
+        # without any text there is nothing to delete
+        e.mark = _hash(*parts) | (chars > 0)
+        inner[e] = _hash(*shape)
+    found = set()
+    place = {root: (0, False)}
+    for e in down:
+        way, inside = place.pop(e)
+        if e.chars:
             found.add(e.mark)
+            if e.tag in (BOXES if inside else CONTAINERS) and e.links >= LINK_SHARE * e.chars:
+                e.shape = _hash(way, inner[e])
+                found.add(e.shape)
+        below = (_hash(way, e.tag, *sorted(e.names)), inside or e.tag in ("article", "main"))
+        place.update((c, below) for c in e.children if isinstance(c, Element))
     return sorted(found)
 
 
+def _pruned(root: Element, templates) -> None:
+    """Takes out the subtrees that are templates by their shape."""
+    for e in _down(root):
+        if any(isinstance(c, Element) and c.shape and c.shape in templates for c in e.children):
+            e.children = [c for c in e.children if not (isinstance(c, Element) and c.shape and c.shape in templates)]
+
+
 def _wanted(e: Element, inside: bool, kept=frozenset()) -> bool:
     return not (e.tag in DROPPED or e.off or e.named and e.tag not in ("body", "html") and (inside or e.tag not in ("article", "main")) and e not in kept)
 
@@ -207,9 +274,31 @@ def _articles(root: Element) -> tuple[list[Element], set[Element]]:
     return [root], kept
 
 
-def _article(root: Element) -> tuple[list[Element], set[Element], str]:
+def _teasers(root: Element, articles: list[Element], kept: set[Element]) -> bool:
+    """Whether articles hold a small part of the page's paragraphs only, so that they are not what the page is about."""
+    inside = outside = 0
+    own = {*articles}
+    todo = [(root, False)]
+    while todo:
+        e, within = todo.pop()
+        within = within or e in own
+        if e.tag == "p":
+            words = sum(map(len, _text([e], kept).split()))
+            links = sum(map(len, _text([x for x in _down(e) if x.tag == "a"], kept).split()))
+            inside += words * within
+            outside += words * (not within and links < LINK_SHARE * words)
+        else:
+            todo += [(c, within) for c in e.children if isinstance(c, Element) and (within or _wanted(c, False, kept) and c.tag != "article" or c in own)]
+    return outside > 0 and inside < ARTICLE_SHARE * (inside + outside)
+
+
+def _article(root: Element, lists: bool = True) -> tuple[list[Element], set[Element], str]:
     """The page's articles, what no name drops in them, and their text with no template deleted."""
+    if not lists:
+        return [root], set(), _text([root], set(), lists=False)
     articles, kept = _articles(root)
+    if articles[0].tag == "article" and _teasers(root, articles, kept):
+        articles, kept = [root], set()
     text = _text(articles, kept)
     if not text:
         # if names alone leave nothing, they do not hold for what holds an article
@@ -218,21 +307,27 @@ def _article(root: Element) -> tuple[list[Element], set[Element], str]:
     return articles, kept, text
 
 
-def article_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
+def article_text(html: str, templates: frozenset[int] | set[int] = frozenset(), lists: bool = True) -> str:
     """The article's blocks, one a line. templates: hashes of subtrees to delete; an article itself is never deleted.
 
-    Nor is anything in articles of which templates are the greater part: these recur as near copies.
+    Nor is anything in articles of which templates are the greater part: these recur as near copies. What is left as the article is
+    looked for once lists of links are gone. If templates are all of a page, they are no templates there.
+    lists: without them, only templates are deleted, and no element goes for what it is or is called.
     """
     root = parse(html)
-    articles, kept, text = _article(root)
+    if templates:
+        mark(root)
+        _pruned(root, templates)
+    articles, kept, text = _article(root, lists)
     if not templates:
         return text
-    mark(root)
-    rest = _text(articles, kept, templates)
+    rest = _text(articles, kept, templates, lists)
+    if not rest:
+        return article_text(html, lists=lists)
     return text if articles[0].tag == "article" and 2 * len(rest) <= len(text) else rest
 
 
-def _text(articles: list[Element], kept: set[Element], templates: frozenset[int] | set[int] = frozenset()) -> str:
+def _text(articles: list[Element], kept: set[Element], templates: frozenset[int] | set[int] = frozenset(), lists: bool = True) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -248,16 +343,18 @@ def _text(articles: list[Element], kept: set[Element], templates: frozenset[int]
         while todo:
             for c in todo[-1]:
                 if not isinstance(c, Element):
-                    if open_[-1].tag != "header":
+                    if not lists or open_[-1].tag != "header":
                         line.append(c)
                     continue
                 if c.tag == "br":
                     line.append(" ")
-                elif _wanted(c, True, kept) and not (templates and c.mark in templates) and not (open_[-1].tag == "header" and c.tag not in HEADINGS | {"header", "hgroup", "div"}):
-                    if c.tag in BLOCKS:
-                        flush()
+                    continue
+                if c.tag in BLOCKS:
+                    flush()
+                in_head = lists and open_[-1].tag == "header" and c.tag not in IN_HEADER
+                if (_wanted(c, True, kept) if lists else c.tag not in NO_TEXT) and not (templates and c.mark in templates) and not in_head:
                     todo.append(iter(c.children))
-                    open_.append(Element("header") if open_[-1].tag == "header" and c.tag not in HEADINGS else c)
+                    open_.append(Element("header") if open_[-1].tag == "header" and c.tag not in HEADINGS | {"p"} else c)
                     break
             else:
                 todo.pop()
@@ -276,33 +373,33 @@ def _marks(pages: DataFrame, host: str, html: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 root = parse(text or "")
                 marks.append(mark(root))
-                digest = hashlib.blake2b(_article(root)[2].encode("utf-8", "replace"), digest_size=8).digest()
-                page.append(int.from_bytes(digest, "little", signed=True))
+                page.append(_hash(_article(root)[2]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(page, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["host", "page", "marks"])
 
     return pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, marks array<bigint>")
 
 
-def site_templates(pages: DataFrame, scratch: Scratch, host: str = "host", html: str = "html") -> DataFrame:
-    """(host, templates): the subtrees that recur across a host's pages, at least LEAST_PAGES and LEAST_SHARE of them.
+def site_templates(pages: DataFrame, scratch: Scratch, host: str = "host", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, templates): the subtrees that recur across a host's pages, at least least_pages and least_share of them.
 
     Pages with the same article count once, whatever is around it. Counts are summed on the map side first, so that a large host
-    is no single task's work. At most 1 / LEAST_SHARE times the subtrees of a mean page pass, so that a host's list is bounded.
+    is no single task's work. At most 1 / least_share times the subtrees of a mean page pass, so that a host's list is bounded.
     """
     marks = scratch.keep(_marks(pages, host, html), "marks")
     different = marks.select("host", "page", F.explode("marks").alias("mark")).distinct()
-    sizes = marks.groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    counts = different.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    sizes = marks.groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= least_pages)
+    counts = different.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     common = scratch.keep(counts, "common")
-    found = common.join(scratch.keep(sizes, "hosts"), "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
+    found = common.join(scratch.keep(sizes, "hosts"), "host").where(F.col("n") >= least_share * F.col("pages"))
     return found.groupBy("host").agg(F.collect_set("mark").alias("templates"))
 
 
-def main_text(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def main_text(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text", n_chars: str = "n_chars", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, lists: bool = True) -> DataFrame:
     """Adds the main text of each page's whole html, and its code points.
 
-    The article is kept without menus, headers (but for headings in the article), footers, sidebars, notices, adverts, forms, scripts,
-    styles and reader comments, and without subtrees that are the host's template. Character references are decoded; white
+    Subtrees that are the host's template, on least_pages and least_share of its pages, go first. Of the rest
+    the article is kept without menus, headers (but for headings and paragraphs in the article), footers, sidebars, notices, adverts, forms, scripts,
+    styles and reader comments; if not lists, all of the rest. Character references are decoded; white
     space inside a block is one space; blocks are trimmed and joined in page order by one newline. A null page is empty. Rows
     stay and other columns pass; a column of the input that has the name of a new one is replaced. Rows without a host share
     the host ''.
@@ -314,7 +411,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", text: str
     carried = kept if html in kept else [*kept, html]
     host = named("host", pages.columns)
     own = pages.withColumn(host, host_of(F.col(url)))
-    templates = scratch.keep(site_templates(own, scratch, host, html), "templates")
+    templates = scratch.keep(site_templates(own, scratch, host, html, least_pages, least_share), "templates")
     few = templates.count()
     right = templates.withColumnRenamed("host", "t_host").withColumnRenamed("templates", named("t_marks", pages.columns))
     t_host = named("t_host", pages.columns)
@@ -327,7 +424,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", text: str
     def run(batches):
         for batch in batches:
             marks = batch.column(len(carried)).to_pylist()
-            texts = [article_text(h or "", frozenset(t or ())) for h, t in zip(batch.column(at).to_pylist(), marks, strict=True)]
+            texts = [article_text(h or "", frozenset(t or ()), lists) for h, t in zip(batch.column(at).to_pylist(), marks, strict=True)]
             out = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], out, pc.cast(pc.utf8_length(out), pa.int64())], names=[*kept, text, n_chars])
 
