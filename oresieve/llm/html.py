@@ -64,6 +64,7 @@ IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript scri
 IN_HEADER = HEADINGS | frozenset("div header hgroup p".split())
 KEEPS_P = frozenset("body html caption dd dt li td th tr tbody thead tfoot summary legend figcaption".split())
 
+MASK = (1 << 64) - 1
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
@@ -185,49 +186,70 @@ def _walk(root: Element):
     return reversed(_down(root))
 
 
-def _hash(*parts) -> int:
-    """64 bits as a signed number with the lowest bit off."""
-    value = xxh64_intdigest("\0".join(map(str, parts)).encode("utf-8", "replace")) & ~1
-    return value - (1 << 64) if value >= 1 << 63 else value
+def _hash(text: str) -> int:
+    return xxh64_intdigest(text.encode("utf-8", "replace"))
 
 
-def mark(root: Element) -> list[int]:
+def _mixed(h: int, part: int) -> int:
+    """A hash of a row of numbers, one after the other."""
+    h = (h ^ part) * 0x9E3779B97F4A7C15 & MASK
+    return h ^ h >> 29
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def mark(root: Element, texts: bool = True) -> list[int]:
     """Hashes every element's subtree and returns the different hashes of those with text: by text for all, by shape for lists of links.
 
     By text: tag, names and text, white space aside; the lowest bit is 1. By shape: the way down to it, and tags and names inside,
     where runs of equal children are one; the lowest bit is 0, and 0 stands for a subtree that does not count so.
+    texts: without, only shapes are hashed.
     """
     down = _down(root)
     inner: dict[Element, int] = {}
+    kinds: dict[tuple, int] = {}
     for e in reversed(down):
-        names = " ".join(sorted(e.names))
-        parts, shape = [e.tag, names], [e.tag, names]
-        chars = links = 0
+        kind = e.tag, e.names
+        h = kinds.get(kind)
+        if h is None:
+            h = kinds[kind] = _hash(" ".join([e.tag, *sorted(e.names)]))
+        text = shape = h
+        chars = links = last = 0
         for c in e.children:
             if isinstance(c, Element):
-                parts.append(f"<{c.mark}")
+                if texts:
+                    text = _mixed(text, c.mark & MASK)
                 chars += c.chars
                 links += c.links
-                if shape[-1] != inner[c]:
-                    shape.append(inner[c])
+                if last != inner[c]:
+                    last = inner[c]
+                    shape = _mixed(shape, last)
             elif words := c.split():
-                parts.append(" ".join(words))
-                chars += sum(map(len, words))
+                plain = " ".join(words)
+                if texts:
+                    text = _mixed(text, _hash(plain))
+                chars += len(plain)
         e.chars, e.links = chars, chars if e.tag == "a" else links
         # without any text there is nothing to delete
-        e.mark = _hash(*parts) | (chars > 0)
-        inner[e] = _hash(*shape)
+        e.mark = _signed(text & ~1 | (chars > 0))
+        inner[e] = shape
     found = set()
     place = {root: (0, False)}
     for e in down:
-        way, inside = place.pop(e)
-        if e.chars:
+        if not e.chars:
+            continue
+        way, inside = place[e]
+        if texts:
             found.add(e.mark)
-            if e.tag in (BOXES if inside else CONTAINERS) and e.links >= LINK_SHARE * e.chars:
-                e.shape = _hash(way, inner[e])
-                found.add(e.shape)
-        below = (_hash(way, e.tag, *sorted(e.names)), inside or e.tag in ("article", "main"))
-        place.update((c, below) for c in e.children if isinstance(c, Element))
+        if e.tag in (BOXES if inside else CONTAINERS) and e.links >= LINK_SHARE * e.chars:
+            e.shape = _signed(_mixed(way, inner[e]) & ~1)
+            found.add(e.shape)
+        below = (_mixed(way, kinds[e.tag, e.names]), inside or e.tag in ("article", "main"))
+        for c in e.children:
+            if isinstance(c, Element):
+                place[c] = below
     return sorted(found)
 
 
@@ -276,20 +298,21 @@ def _articles(root: Element) -> tuple[list[Element], set[Element]]:
 
 def _teasers(root: Element, articles: list[Element], kept: set[Element]) -> bool:
     """Whether articles hold a small part of the page's paragraphs only, so that they are not what the page is about."""
-    inside = outside = 0
-    own = {*articles}
-    todo = [(root, False)]
+    own, todo, others = {*articles}, [root], []
     while todo:
-        e, within = todo.pop()
-        within = within or e in own
+        e = todo.pop()
         if e.tag == "p":
-            words = sum(map(len, _text([e], kept).split()))
-            links = sum(map(len, _text([x for x in _down(e) if x.tag == "a"], kept).split()))
-            inside += words * within
-            outside += words * (not within and links < LINK_SHARE * words)
-        else:
-            todo += [(c, within) for c in e.children if isinstance(c, Element) and (within or _wanted(c, False, kept) and c.tag != "article" or c in own)]
-    return outside > 0 and inside < ARTICLE_SHARE * (inside + outside)
+            others.append(e)
+        elif e not in own:
+            todo += [c for c in e.children if isinstance(c, Element) and (c in own or c.tag != "article" and _wanted(c, False, kept))]
+    outside = 0
+    for p in others:
+        words = len(_text([p], kept))
+        outside += words * (sum(len(_text([x], kept)) for x in _down(p) if x.tag == "a") < LINK_SHARE * words)
+    if not outside:
+        return False
+    inside = sum(len(_text([x], kept)) for e in articles for x in _down(e) if x.tag == "p")
+    return inside < ARTICLE_SHARE * (inside + outside)
 
 
 def _article(root: Element, lists: bool = True) -> tuple[list[Element], set[Element], str]:
@@ -315,13 +338,14 @@ def article_text(html: str, templates: frozenset[int] | set[int] = frozenset(),
     lists: without them, only templates are deleted, and no element goes for what it is or is called.
     """
     root = parse(html)
+    texts = any(t & 1 for t in templates)
     if templates:
-        mark(root)
+        mark(root, texts)
         _pruned(root, templates)
     articles, kept, text = _article(root, lists)
     if not templates:
         return text
-    rest = _text(articles, kept, templates, lists)
+    rest = _text(articles, kept, templates, lists) if texts else text
     if not rest:
         return article_text(html, lists=lists)
     return text if articles[0].tag == "article" and 2 * len(rest) <= len(text) else rest
@@ -373,7 +397,7 @@ def _marks(pages: DataFrame, host: str, html: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 root = parse(text or "")
                 marks.append(mark(root))
-                page.append(_hash(_article(root)[2]))
+                page.append(_signed(_hash(_article(root)[2])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(page, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["host", "page", "marks"])
 
     return pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, page long, marks array<bigint>")
