@@ -82,6 +82,21 @@ def last_page(link: Column) -> Column:
     return F.nullif(F.regexp_extract(link, "[?&]page=(\\d+)>;\\s*rel=\"last\"", 1), F.lit("")).cast("long")
 
 
+def last_page_v1(link: Column) -> Column:
+    """As last_page(), but of any parameter whose name ends in page, and with one space before rel."""
+    return F.nullif(F.regexp_extract(link, "page=(\\d+)>; rel=\"last\"", 1), F.lit("")).cast("long")
+
+
+def api_url(full_name: Column, *parts) -> Column:
+    """An address of the repository API: its name and what of it is asked for (contributors, commits, git/trees/branch)."""
+    return F.concat_ws("/", F.lit("https://api.github.com/repos"), full_name, *parts)
+
+
+def short_error(text: Column, most: int = 200) -> Column:
+    """An error's text without white space around it, cut to its first characters."""
+    return F.left(F.regexp_replace(text, "^\\s+|\\s+$", ""), F.lit(most))
+
+
 def raw_url(full_name: Column, branch: Column, path: Column) -> Column:
     return F.concat_ws("/", F.lit("https://raw.githubusercontent.com"), full_name, branch, path)
 

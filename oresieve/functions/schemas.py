@@ -8,6 +8,7 @@ HIT_ITEM = (
 SEARCH_HITS = f"run_id string, term string, term_seq int, page int, pos int, item {HIT_ITEM}"
 CONTRIBUTORS = "full_name string, contributor_id string"
 COMMITS = "full_name string, branch string, sha string, committer_date string"
+LISTED_COMMITS = COMMITS + ", pos int"
 COMMIT_LINKS = "full_name string, link_header string, body_len bigint, status int"
 TREE_ENTRIES = "full_name string, branch string, type string, path string"
 FILES = "full_name string, branch string, path string, status int, content string"

@@ -70,7 +70,7 @@ def test_functions(content: str | None, modules: list[str] | None = None):
         yield seq, f.name, isinstance(f, ast.AsyncFunctionDef), f.lineno, f.end_lineno, source, imports, _segments(f) if wanted else [], True
 
 
-@udtf(returnType=TESTS)
+@udtf(returnType=TESTS, useArrow=True)
 class ExtractTests:
     """extract_tests(content, modules): see test_functions."""
 
@@ -79,7 +79,7 @@ class ExtractTests:
         yield from test_functions(content, list(modules) if modules is not None else None)
 
 
-@udf(ArrayType(StringType()))
+@udf(ArrayType(StringType()), useArrow=True)
 def py_imports(content):
     """The sorted modules that a source imports; null if it has no tree."""
     tree = parsed(content)

@@ -44,10 +44,16 @@ def repository_counts(repositories: DataFrame, files: DataFrame, tests: DataFram
     return joined.fillna(0, ["test_file_count", "test_function_count", "llm_test_count"]).withColumn("clone_status", F.lit("ok"))
 
 
-def failed_clone(repositories: DataFrame) -> DataFrame:
-    """Repositories whose files could not be had."""
+def failed_clone(repositories: DataFrame, error: str | None = None) -> DataFrame:
+    """Repositories whose files could not be had; with a column of error texts, the first 200 characters of each."""
     zero = {n: F.lit(0).cast("long") for n in ("test_file_count", "test_function_count", "llm_test_count")}
-    return repositories.withColumns(zero | {"clone_status": F.lit("failed")})
+    rows = repositories.withColumn(error, C.short_error(F.col(error))) if error else repositories
+    return rows.withColumns(zero | {"clone_status": F.lit("failed")})
+
+
+def totals(listed: DataFrame, repository: str = "framework") -> DataFrame:
+    """(tests, repositories): the tests found and in how many different repositories, as a run tells at its end."""
+    return listed.agg(F.count(F.lit(1)).alias("tests"), F.count_distinct(repository).alias("repositories"))
 
 
 def llm_tests(tests: DataFrame, repository: str = "repo") -> DataFrame:

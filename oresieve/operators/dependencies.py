@@ -13,12 +13,17 @@ from .state import upserted
 OUTPUT = ("category", "full_name", "frameworks", "dep_files")
 
 
-def categorised(**tables: DataFrame) -> DataFrame:
-    """One table of candidates with their category, in the order given; category_seq and row_seq keep the order for last-wins lookups."""
+def categorised(order: str = "seq", **tables: DataFrame) -> DataFrame:
+    """One table of candidates with their category, in the order given; category_seq and row_seq keep the order for last-wins lookups.
+
+    row_seq is the column `order` of a table, a number that tells its rows' order of arrival; a table without it has rows of equal order,
+    which are then told apart by branch, so that nothing depends on the partitioning.
+    """
     out = None
     for seq, (category, table) in enumerate(tables.items()):
+        row_seq = F.coalesce(F.col(order).cast("long") if order in table.columns else F.lit(None).cast("long"), F.lit(0).cast("long"))
         branch = C.or_default(F.col("default_branch"), "main")
-        rows = table.select(F.lit(category).alias("category"), F.lit(seq).alias("category_seq"), F.monotonically_increasing_id().alias("row_seq"), "full_name", branch.alias("branch"))
+        rows = table.select(F.lit(category).alias("category"), F.lit(seq).alias("category_seq"), row_seq.alias("row_seq"), "full_name", branch.alias("branch"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -53,7 +58,7 @@ def root_check(spark: SparkSession, candidates: DataFrame, files: DataFrame, sta
 
     A repository in two categories is checked in the first; its second row replays that verdict, so that it is there twice.
     """
-    order = Window.partitionBy("full_name").orderBy("category_seq", "row_seq")
+    order = Window.partitionBy("full_name").orderBy("category_seq", "row_seq", "branch")
     todo = candidates.join(state.select("full_name"), "full_name", "left_anti").withColumn("rn", F.row_number().over(order)).where("rn = 1")
     have = root_files(spark, todo, files)
     some = have.groupBy("full_name").agg(F.count(F.lit(1)).alias("n_files"))

@@ -9,13 +9,20 @@ from ..sources import snapshots
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "full_name") -> DataFrame:
-    """Old rows without those that new ones replace, and the new ones; keys are unique in each. One shuffle, of both by key."""
-    # a union that passes its inputs' partitioning on can zip inputs that adaptive execution has coalesced differently
-    old.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
-    both = old.withColumn("newer", F.lit(0)).unionByName(new.withColumn("newer", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in (key, "newer")]
-    last = both.groupBy(key).agg(F.max_by(F.struct(*rest), "newer").alias("row"))
-    return last.select(*(F.col(c) if c == key else F.col(f"row.{c}") for c in both.columns if c != "newer"))
+    """Old rows without those that new ones replace, and the new ones; keys are unique in each. Columns that one side lacks are null there.
+
+    One full outer join, which shuffles both by key once.
+    """
+    columns = [*old.columns, *(c for c in new.columns if c not in old.columns)]
+    kinds = {f.name: f.dataType for f in [*new.schema.fields, *old.schema.fields]}
+
+    def whole(table: DataFrame, name: str) -> DataFrame:
+        cells = (F.col(c) if c in table.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns)
+        return table.select(F.col(key).alias(f"{name}_key"), F.struct(*cells).alias(name))
+
+    both = whole(old, "old").join(whole(new, "new"), F.col("old_key").eqNullSafe(F.col("new_key")), "full_outer")
+    row = F.when(F.col("new").isNotNull(), F.col("new")).otherwise(F.col("old"))
+    return both.select(row.alias("row")).select(*(F.col(f"row.{c}") for c in columns))
 
 
 def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import constants as K
 from ..functions.source_code import register
 from ..operators import analysis, enrich, extraction, report, search, state
 from ..sources import snapshots
@@ -138,7 +139,9 @@ def link_last_page(spark, sf_dir):
 
 @query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '(^|/)[0-9]+\\.html$')")
 def path_filter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.col("url").rlike("(?d)(^|/)[0-9]+\\.html$")).select("page_id", "url")
+    """Numbered pages play test files: their names are spelt as such ones before the library looks at them."""
+    path = F.regexp_replace("url", "(?d)(^|/)([0-9]+)\\.html$", "$1test_$2.py")
+    return table(spark, sf_dir, "pages").where(C.is_test_file(path)).select("page_id", "url")
 
 
 @query("""
@@ -322,6 +325,15 @@ def match_map(spark, sf_dir):
     return m.select("l_orderkey", F.map_keys("m").alias("flags"), F.map_values("m").alias("lines"))
 
 
+#: The same files in SQL, with what a parser of Python finds in each.
+SOURCES = """
+f AS (
+  SELECT 'documents/' || (doc_id // 10) AS full_name, 'tests/test_' || doc_id || '.py' AS path, doc_id, coalesce(text, '') AS text, CASE lang WHEN 'en' THEN 'openai' WHEN 'de' THEN 'ragas' ELSE 'json' END AS module,
+    'def test_' || doc_id || '(client):' || chr(10) || '    said = ' || CAST(to_json({'text': coalesce(text, '')}) AS VARCHAR) || chr(10) || '    assert client.chat.completions.create(said)' AS own
+  FROM documents
+)"""
+
+
 def _files(spark, sf_dir):
     """Every document as a Python test file: its text is a literal of a test, its language names the module, ten are a repository."""
     d = table(spark, sf_dir, "documents")
@@ -336,27 +348,40 @@ def _files(spark, sf_dir):
     return d.select(name.alias("full_name"), F.concat(F.lit("tests/test_"), number, F.lit(".py")).alias("path"), content.alias("content"), F.lit(200).alias("status"))
 
 
-@query()
+@query(f"""
+WITH {SOURCES}
+SELECT full_name, path, 0 AS bfs_seq, 'test_' || doc_id AS name, false AS is_async, 4 AS lineno, 6 AS end_lineno, own AS source, [module] AS imports,
+  CASE WHEN module <> 'json' THEN ['client.chat.completions.create(said)', 'client.chat.completions.create', 'client.chat.completions', 'client.chat'] ELSE [] END AS call_segments, true AS parse_ok FROM f
+UNION ALL SELECT full_name, path, 1, 'test_m', true, 10, 11, '    async def test_m(self):' || chr(10) || '        mock()', [module], CASE WHEN module <> 'json' THEN ['mock()'] ELSE [] END, true FROM f
+""")
 def py_tests_extract(spark, sf_dir):
     register(spark)
     return analysis.extracted(_files(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {SOURCES} SELECT full_name, path, [module] AS imports FROM f")
 def py_imports(spark, sf_dir):
     register(spark)
     _files(spark, sf_dir).createOrReplaceTempView("oresieve_files")
     return spark.sql("SELECT full_name, path, py_imports(content) AS imports FROM oresieve_files")
 
 
-@query()
+@query(f"""
+WITH {SOURCES} SELECT full_name, path, 'test_' || doc_id AS name, module <> 'json' AND NOT regexp_matches(text, '(?i){K.MOCK_PATTERN}') AS is_llm FROM f UNION ALL SELECT full_name, path, 'test_m', false FROM f
+""")
 def llm_classify(spark, sf_dir):
     register(spark)
     tests = analysis.classified(analysis.extracted(_files(spark, sf_dir)))
     return tests.select("full_name", "path", "name", "is_llm")
 
 
-@query()
+@query(f"""
+WITH {SOURCES}, l AS (SELECT *, '# --- ' || path || ' ---' AS heading FROM f WHERE module <> 'json' AND NOT regexp_matches(text, '(?i){K.MOCK_PATTERN}')),
+n AS (SELECT full_name, count(*) AS files FROM f GROUP BY full_name)
+SELECT full_name, replace(full_name, '/', '_') AS safe_name, '# ' || full_name || chr(10) || '# ' || count(*) || ' LLM-backed test functions across ' || any_value(files) || ' test files' || chr(10)
+  || '# Source: https://example.org/' || full_name || chr(10) || string_agg(chr(10) || heading || chr(10) || chr(10) || own || chr(10) || chr(10), '' ORDER BY path) AS content
+FROM l JOIN n USING (full_name) GROUP BY full_name
+""")
 def extracted_documents(spark, sf_dir):
     register(spark)
     files = _files(spark, sf_dir)

@@ -38,8 +38,25 @@ def append(table: DataFrame, path: str) -> None:
     table.write.mode("append").parquet(path)
 
 
+def write_json_state(state: DataFrame, path: str) -> None:
+    """Rows keyed by full_name as one JSON file, `processed` by full_name, as dependency_state() reads it; null flags are left out."""
+    rest = F.struct(*(c for c in state.columns if c != "full_name"))
+    entries = F.array_sort(F.collect_list(F.struct("full_name", rest.alias("row"))))
+    text = F.to_json(F.struct(F.map_from_entries(entries).alias("processed")), {"ignoreNullFields": "true", "pretty": "true"})
+    state.agg(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def folder_names(documents: DataFrame) -> DataFrame:
+    """Adds folder: the safe name, with a hash of the full name where several names share it (a/b_c and a_b/c)."""
+    names = documents.select("full_name", "safe_name").distinct().groupBy("safe_name").agg(F.count(F.lit(1)).alias("names"))
+    mark = F.concat(F.col("safe_name"), F.lit("-"), F.lower(F.hex(F.xxhash64("full_name"))))
+    return documents.join(names, "safe_name").withColumn("folder", F.when(F.col("names") > 1, mark).otherwise(F.col("safe_name"))).drop("names")
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
-    """(safe_name, content): a folder for each document with its text; no document passes through the driver. The writer adds the last newline."""
+    """(full_name, safe_name, content): a folder for each document with its text; no document passes through the driver. The writer adds the last newline."""
+    if "full_name" in documents.columns:
+        documents = folder_names(documents).withColumn("safe_name", F.col("folder"))
     text = F.regexp_replace("content", "\\n\\z", "").alias("value")
     documents.select("safe_name", text).write.mode("overwrite").partitionBy("safe_name").text(path)
 

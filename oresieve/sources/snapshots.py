@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,25 @@ def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return or_empty(spark, path, schema, spark.read.schema(schema).parquet)
 
 
+def dependency_state(spark: SparkSession, path: str) -> DataFrame:
+    """The dependency checks' JSON state file, `processed` by full_name, as rows; missing flags are null, a missing file is an empty table."""
+    kept = "processed map<string, struct<category:string, frameworks:string, dep_files:string, no_deps:boolean, deep_checked:boolean>>"
+    state = or_empty(spark, path, kept, spark.read.schema(kept).option("multiLine", True).json)
+    return state.select(F.explode("processed").alias("full_name", "row")).select("full_name", "row.*")
+
+
+def search_state(spark: SparkSession, path: str) -> DataFrame:
+    """The search's JSON state file as one row: terms done, repositories done, candidates (item, frameworks) by full_name, and drop counts.
+
+    A missing file is a row of nothing done.
+    """
+    counts = "struct<kept:bigint, dropped_lifetime:bigint, dropped_contributors:bigint, dropped_commit_freq:bigint, dropped_no_tests:bigint>"
+    kept = f"completed_search_terms array<string>, processed_repos array<string>, candidates map<string, struct<item:{schemas.HIT_ITEM}, frameworks:array<string>>>, stats {counts}"
+    if exists(spark, path):
+        return spark.read.schema(kept).option("multiLine", True).json(path)
+    return spark.createDataFrame([([], [], {}, (0, 0, 0, 0, 0))], kept)
+
+
 def tree_entries(responses: DataFrame) -> DataFrame:
     """Entries of tree listings (full_name, branch, tree array of type and path); a listing without a tree has none."""
     return responses.select("full_name", "branch", F.explode("tree").alias("e")).select("full_name", "branch", "e.type", "e.path")
@@ -51,10 +72,18 @@ def tree_entries(responses: DataFrame) -> DataFrame:
 def walk(spark: SparkSession, root: str, full_name: str) -> DataFrame:
     """The files of a checked-out repository, without vendored folders: (full_name, branch, path, status, content).
 
-    Paths are relative to the root. Contents are decoded as UTF-8 with U+FFFD for bad bytes.
+    Paths are relative to the root. Contents are decoded as UTF-8 with U+FFFD for bad bytes. Paths are listed without contents first, and
+    only folders that are not vendored are read; the driver gets the names of these folders of one repository.
     """
     base = root.rstrip("/").removeprefix("file:")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    inside = F.regexp_replace("path", f"^(file:)?/*\\Q{base.lstrip('/')}\\E/", "")
+    folders = listed.where(~C.is_vendored(inside)).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+    names = sorted(r.folder for r in folders.collect())
+    if not names:
+        return spark.createDataFrame([], schemas.FILES)
+    # a folder's name is no pattern
+    found = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in names])
     path = F.regexp_replace("path", f"^(file:)?/*\\Q{base.lstrip('/')}\\E/", "")
     files = found.select(F.lit(full_name).alias("full_name"), F.lit(None).cast("string").alias("branch"), path.alias("path"), F.lit(200).alias("status"), "content")
     return files.where(~C.is_vendored(F.col("path"))).withColumn("content", C.valid_text(F.col("content")))
@@ -86,11 +115,16 @@ def link_counts(responses: DataFrame, name: str) -> DataFrame:
 
 
 def latest_commit_dates(commits: DataFrame) -> DataFrame:
-    """The date of the first listed commit of each repository: the latest."""
-    return commits.groupBy("full_name").agg(F.max("committer_date").alias("latest_default_branch_commit_date"))
+    """The date of the first listed commit of each repository by `pos`, which need not be the latest; of listings without positions the latest.
+
+    A first commit without a date gives null.
+    """
+    date = F.col("committer_date")
+    first = F.min_by(F.struct(date), "pos")["committer_date"] if "pos" in commits.columns else F.max(date)
+    return commits.groupBy("full_name").agg(first.alias("latest_default_branch_commit_date"))
 
 
 def default_branches(listing: DataFrame) -> DataFrame:
     """One branch for each repository: of several rows the last by (category_seq, row_seq); null counts as main."""
-    last = F.max_by(C.or_default(F.col("default_branch"), "main"), F.struct("category_seq", "row_seq"))
+    last = F.max_by(C.or_default(F.col("default_branch"), "main"), F.struct("category_seq", "row_seq", C.or_default(F.col("default_branch"), "main").alias("branch")))
     return listing.groupBy("full_name").agg(last.alias("branch"))

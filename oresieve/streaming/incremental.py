@@ -30,10 +30,13 @@ def merge(state: State, batch: DataFrame) -> DataFrame:
     return state.save(both.select("full_name", "first", "item", "terms"))
 
 
-def run(spark: SparkSession, source: str, state_path: str, checkpoint: str) -> State:
-    """Takes all that has landed since the last run into the state, and ends. A run that broke off is taken up by the next."""
+def run(spark: SparkSession, source: str, state_path: str, checkpoint: str, files_at_once: int = 1000) -> State:
+    """Takes all that has landed since the last run into the state, and ends. A run that broke off is taken up by the next.
+
+    The state is written once for every files_at_once files, which is the cadence of its flushes.
+    """
     state = State(spark, state_path, CANDIDATES)
-    query = landed(spark, source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: merge(state, batch))
+    query = landed(spark, source, files_at_once).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: merge(state, batch))
     query.start().awaitTermination()
     return state
 
