@@ -104,6 +104,7 @@ def slopes(w: np.ndarray, column: np.ndarray, count: np.ndarray, row: np.ndarray
     """The gradient, by weights, of the mean negative log likelihood of the documents' labels under the noisy-or of their sentences.
 
     column, count, row: the features of sentences; owner: the document of each sentence; y: the documents' labels.
+    Where a sentence's odds are below the background, the slope is that of the chance without its floor at 0, so that weights can come back.
     """
     odds = np.bincount(row, w[column] * count, len(owner))
     p = np.minimum(chance(odds), 1 - 1e-9)
