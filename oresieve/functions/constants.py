@@ -10,20 +10,22 @@ FRAMEWORK_QUERIES = (
 )
 #: The keywords that applications are searched by.
 APPLICATION_TERMS = (
-    "langchain langgraph autogen crewai pydantic-ai metagpt camel-ai agency-swarm griptape agentops openai-agents adalflow swarms"
-    " parlant praisonai dynamiq openai-swarm superagi agent-zero ragaai-catalyst pentestgpt ten-framework livekit-agents agent-squad"
-    " lavague superduper giskard ii-agent beeai-framework cheshire-cat solace-agent-mesh openlit nextpy llmstack lagent agentuniverse"
-    " notte demogpt pentestagent redamon honcho uagents openakita patchwork agent-protocol npcpy infiagent any-agent sage"
-).split()
+    "langchain", "langgraph", "autogen", "crewai", "pydantic-ai", "metagpt", "camel-ai", "agency-swarm", "griptape", "agentops",
+    "openai-agents", "adalflow", "swarms", "parlant", "praisonai", "dynamiq", "openai-swarm", "superagi", "agent-zero", "ragaai-catalyst",
+    "pentestgpt", "ten-framework", "livekit-agents", "agent-squad", "lavague", "superduper", "giskard", "ii-agent", "beeai-framework",
+    "cheshire-cat", "solace-agent-mesh", "openlit", "nextpy", "llmstack", "lagent", "agentuniverse", "notte", "demogpt", "pentestagent",
+    "redamon", "honcho", "uagents", "openakita", "patchwork", "agent-protocol", "npcpy", "infiagent", "any-agent", "sage",
+)
 LEAST_STARS, PUSHED_AFTER, LANGUAGE = 10, "2025-04-14", "Python"
 PAGE_ROWS, MOST_PAGES = 100, 3
 
 #: Modules whose import marks a test file, for frameworks; applications have the evaluators as well.
 MODEL_MODULES = (
-    "openai anthropic litellm cohere mistralai google.generativeai vertexai boto3 langchain langchain_openai langchain_anthropic"
-    " langchain_community llamaindex llama_index ollama groq together huggingface_hub transformers"
-).split()
-EVALUATOR_MODULES = "opik deepeval giskard promptfoo phoenix arize_phoenix ragas".split()
+    "openai", "anthropic", "litellm", "cohere", "mistralai", "google.generativeai", "vertexai", "boto3", "langchain", "langchain_openai",
+    "langchain_anthropic", "langchain_community", "llamaindex", "llama_index", "ollama", "groq", "together", "huggingface_hub",
+    "transformers",
+)
+EVALUATOR_MODULES = ("opik", "deepeval", "giskard", "promptfoo", "phoenix", "arize_phoenix", "ragas")
 
 #: Text that names a model call, and text that names a stand-in for one; both anywhere, in any case.
 CALL_PATTERN = (
@@ -32,6 +34,7 @@ CALL_PATTERN = (
 )
 MOCK_PATTERN = "mock|patch|fake|stub|fixture|monkeypatch|MagicMock|AsyncMock"
 
+#: Names of test files and of dependency files, and folders that a walk leaves out.
 TEST_FILE = "(^|/)test_[^/]+\\.py$"
 DEP_FILE = "(^|/)(requirements[^/]*\\.txt|pyproject\\.toml|setup\\.py|setup\\.cfg)$"
 VENDORED = (".git", "node_modules", ".venv", "venv", "__pycache__")
@@ -62,18 +65,21 @@ def package_pattern(package: str) -> str:
     return "(?:^|[\\s,\"'\\[])" + package + "(?:\\s|[>=<!\\[,\\]\"']|$)"
 
 
-#: Columns of the exported tables, in order.
+#: Columns of the exported tables, in order.
 FRAMEWORK_COLUMNS = (
-    "full_name html_url description matched_query stars forks language topics open_issues size_kb default_branch created_at updated_at"
-    " pushed_at latest_default_branch_commit_date archived disabled license contributors_count test_file_count test_function_count clone_url"
-).split()
+    "full_name", "html_url", "description", "matched_query", "stars", "forks", "language", "topics", "open_issues", "size_kb",
+    "default_branch", "created_at", "updated_at", "pushed_at", "latest_default_branch_commit_date", "archived", "disabled", "license",
+    "contributors_count", "test_file_count", "test_function_count", "clone_url",
+)
 APPLICATION_V1_COLUMNS = (
-    "full_name html_url description matched_frameworks stars forks language topics open_issues size_kb default_branch created_at"
-    " updated_at pushed_at latest_default_branch_commit_date fork archived disabled license contributors_count total_commits"
-    " lifetime_days commits_per_month test_file_count test_function_count clone_url"
-).split()
+    "full_name", "html_url", "description", "matched_frameworks", "stars", "forks", "language", "topics", "open_issues", "size_kb",
+    "default_branch", "created_at", "updated_at", "pushed_at", "latest_default_branch_commit_date", "fork", "archived", "disabled",
+    "license", "contributors_count", "total_commits", "lifetime_days", "commits_per_month", "test_file_count", "test_function_count",
+    "clone_url",
+)
 APPLICATION_V2_COLUMNS = (
-    "full_name html_url clone_url default_branch description matched_frameworks stars forks language topics open_issues size_kb"
-    " created_at updated_at pushed_at license lifetime_days contributors total_commits commits_per_month"
-).split()
+    "full_name", "html_url", "clone_url", "default_branch", "description", "matched_frameworks", "stars", "forks", "language", "topics",
+    "open_issues", "size_kb", "created_at", "updated_at", "pushed_at", "license", "lifetime_days", "contributors", "total_commits",
+    "commits_per_month",
+)
 TABLE_COLUMNS = ("AI agent framework", "# Stars (k)", "# Contributors", "# Test files", "# Test functions")

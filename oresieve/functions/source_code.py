@@ -38,21 +38,25 @@ def parsed(content: str | None) -> ast.Module | None:
         return None
 
 
-def _segments(function: ast.AST) -> list[str]:
-    """Calls and attributes under a function as normal text, decorators and defaults included; one that has none is empty."""
+def _segments(function: ast.AST, strict: bool = False) -> list[str]:
+    """Calls and attributes under a function as normal text, decorators and defaults included; one that has none is empty, or an error if strict."""
     out = []
     for node in ast.walk(function):
         if isinstance(node, ast.Call | ast.Attribute):
             try:
                 out.append(ast.unparse(node))
-            except Exception:  # a tree that can't be written counts as a segment without text
+            except Exception:  # a tree that can't be written
+                if strict:
+                    raise
                 out.append("")
     return out
 
 
-def test_functions(content: str | None, modules: list[str] | None = None):
+def test_functions(content: str | None, modules: list[str] | None = None, strict: bool = False):
     """A row for each function test_*, breadth first, at any depth. Text without a tree gives one row with parse_ok false.
 
+    strict: so does a file of which some call can't be written as text, as framework analysis has it; else that call has no text.
+
     A function's source runs from its def line, without decorators. Segments are written only if the file imports one of
     `modules` (or where none are named), as that is most of the work.
     """
@@ -64,19 +68,24 @@ def test_functions(content: str | None, modules: list[str] | None = None):
     imports = sorted(top_modules(tree))
     wanted = modules is None or not {*modules}.isdisjoint(imports)
     rows = content.splitlines()
-    found = (n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef) and n.name.startswith("test_"))
-    for seq, f in enumerate(found):
+    found = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef) and n.name.startswith("test_")]
+    try:
+        segments = [_segments(f, strict) if wanted else [] for f in found]
+    except Exception:
+        yield 0, None, None, None, None, None, [], [], False
+        return
+    for seq, (f, said) in enumerate(zip(found, segments, strict=True)):
         source = "\n".join(rows[f.lineno - 1 : f.end_lineno])
-        yield seq, f.name, isinstance(f, ast.AsyncFunctionDef), f.lineno, f.end_lineno, source, imports, _segments(f) if wanted else [], True
+        yield seq, f.name, isinstance(f, ast.AsyncFunctionDef), f.lineno, f.end_lineno, source, imports, said, True
 
 
 @udtf(returnType=TESTS, useArrow=True)
 class ExtractTests:
-    """extract_tests(content, modules): see test_functions."""
+    """extract_tests(content, modules, strict): see test_functions."""
 
-    def eval(self, content: str, modules):
+    def eval(self, content: str, modules, strict: bool = False):
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
-        yield from test_functions(content, list(modules) if modules is not None else None)
+        yield from test_functions(content, list(modules) if modules is not None else None, strict)
 
 
 @udf(ArrayType(StringType()), useArrow=True)

@@ -16,16 +16,16 @@ def test_files(files: DataFrame) -> DataFrame:
     return files.where(C.is_test_file(F.col("path")) & ~C.is_vendored(F.col("path")) & (F.col("status") == 200))
 
 
-def extracted(files: DataFrame, modules: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+def extracted(files: DataFrame, modules: list[str] | None = None, partitions: int | None = None, strict: bool = False) -> DataFrame:
     """A row for each test function of each file: one call of the table function a file, one tree for all that is asked of it.
 
-    partitions deals files out by path, so that a repository with very many files is not one task's work.
+    strict: a file with a call that can't be written as text has no tests. partitions deals files out by path, so that a repository with very many files is not one task's work.
     """
     modules = APPLICATION_MODULES if modules is None else modules
     rows = files.select(*KEYS, "content")
     if partitions:
         rows = rows.repartition(partitions, *KEYS)
-    return rows.lateralJoin(ExtractTests(F.col("content").outer(), F.array(*map(F.lit, modules)))).drop("content")
+    return rows.lateralJoin(ExtractTests(F.col("content").outer(), F.array(*map(F.lit, modules)), F.lit(strict))).drop("content")
 
 
 def classified(tests: DataFrame, modules: list[str] | None = None) -> DataFrame:

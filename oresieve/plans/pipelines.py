@@ -52,7 +52,7 @@ def analysed(repositories: DataFrame, files: DataFrame, partitions: int | None =
 
 def framework_tests(files: DataFrame, listed_order: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(tests, documents) of frameworks: the tests found, framework first, then each with the first source of its name."""
-    parsed = analysis.extracted(analysis.test_files(files), K.MODEL_MODULES)
+    parsed = analysis.extracted(analysis.test_files(files), K.MODEL_MODULES, strict=True)
     found = analysis.classified(parsed, K.MODEL_MODULES).where("is_llm")
     order = Window.partitionBy("full_name").orderBy("path", "bfs_seq")
     listed = found.select("full_name", "path", "name", F.row_number().over(order).alias("seq"))

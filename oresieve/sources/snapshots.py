@@ -107,10 +107,13 @@ def contributor_counts(contributors: DataFrame, cap: int | None = None) -> DataF
     return contributors.groupBy("full_name").agg((F.least(n, F.lit(cap)) if cap else n).alias("contributors"))
 
 
-def link_counts(responses: DataFrame, name: str) -> DataFrame:
-    """Counts read off a Link header with one row a page, else the rows of the answer; no data (404, 409, 451, 204) counts 0."""
+def link_counts(responses: DataFrame, name: str, page=C.last_page) -> DataFrame:
+    """Counts read off a Link header with one row a page, else the rows of the answer; no data (404, 409, 451, 204) counts 0.
+
+    page: how the number is read off the header, C.last_page or C.last_page_v1.
+    """
     missing = F.coalesce(F.col("status"), F.lit(200)).isin(404, 409, 451, 204)
-    count = F.when(missing, F.lit(0)).otherwise(F.coalesce(C.last_page(F.col("link_header")), F.col("body_len"), F.lit(0)))
+    count = F.when(missing, F.lit(0)).otherwise(F.coalesce(page(F.col("link_header")), F.col("body_len"), F.lit(0)))
     return responses.select("full_name", count.cast("long").alias(name))
 
 
