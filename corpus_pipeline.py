@@ -11,27 +11,42 @@ from oresieve.llm.shared import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: keeps documents that score under its threshold; the classifier learns from labels of documents of this input."""
+    """Operator 8: keeps documents that score under its threshold; the classifier learns from labels of documents of this input.
+
+    Null and empty texts score 0 and stay; repeated rows share their fate; an empty table gives an empty one.
+    """
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: keeps documents that pass the base rules and the suffix arrays' verdict."""
+    """Operator 5: keeps documents that pass the base rules and the suffix arrays' verdict.
+
+    Null and empty texts have no words and go; repeated rows share their fate; an empty table gives an empty one.
+    """
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: keeps the document with the smallest id of each group."""
+    """Operator 4: keeps the document with the smallest id of each group, one row of it if the id is repeated.
+
+    Rows without an id all stay; texts without words are one group; an empty table gives an empty one.
+    """
     return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: each document as often as the mix takes it."""
+    """Operator 9: each document as often as the mix takes it.
+
+    A null source is a source; texts without words are taken as often as their source's whole epochs; an empty table gives an empty one.
+    """
     return mix.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: the ids of each row's text (unsigned 32-bit, little-endian), checked to decode to it."""
+    """Operator 1: the ids of each row's text (unsigned 32-bit, little-endian), checked to decode to it.
+
+    A null text has no ids; repeated rows stay; an empty table gives an empty one.
+    """
     out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
     n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     exact = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact")

@@ -27,42 +27,72 @@ LEAST_PAGES, LEAST_SHARE = 12, 0.5
 LINK_SHARE, ARTICLE_SHARE = 0.5, 0.25
 
 #: Elements of HTML by how they are read.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noframes iframe".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noframes", "iframe"))
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
-    " h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    (
+        "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt",
+        "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li",
+        "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    )
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that count by their shape: in an article only boxes, as its lists and tables are its own.
-BOXES = frozenset("aside div menu nav section".split())
+BOXES = frozenset(("aside", "div", "menu", "nav", "section"))
 CONTAINERS = BOXES | frozenset("dl footer header ol table ul".split())
 #: What is no text whatever it is called.
-NO_TEXT = frozenset("canvas embed frameset head iframe noframes noscript object script style svg template title".split())
+NO_TEXT = frozenset(
+    (
+        "canvas", "embed", "frameset", "head", "iframe", "noframes", "noscript", "object", "script", "style", "svg", "template", "title",
+    )
+)
 DROPPED = frozenset(
-    "applet aside audio button canvas dialog embed footer form frameset head iframe input map menu nav noframes noscript object"
-    " script select style svg template textarea title video".split()
+    (
+        "applet", "aside", "audio", "button", "canvas", "dialog", "embed", "footer", "form", "frameset", "head", "iframe", "input", "map",
+        "menu", "nav", "noframes", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title", "video",
+    )
+)
+ROLES = frozenset(
+    (
+        "alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search",
+        "toolbar",
+    )
 )
-ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of a class or id that name what is not the article.
 NAMES = frozenset(
-    "ad ads advert advertisement advertisements advertising adverts banner breadcrumb breadcrumbs comment comments cookie cookies"
-    " consent disqus gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo"
-    " related share sharing sidebar sidebars sitefooter siteheader skip social sponsor sponsored subscribe toolbar widget".split()
+    (
+        "ad", "ads", "advert", "advertisement", "advertisements", "advertising", "adverts", "banner", "breadcrumb", "breadcrumbs",
+        "comment", "comments", "cookie", "cookies", "consent", "disqus", "gdpr", "masthead", "menu", "modal", "nav", "navbar",
+        "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "related", "share", "sharing",
+        "sidebar", "sidebars", "sitefooter", "siteheader", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    )
 )
 #: Words that may stand beside those in one name (comment-list, site-footer); any other word makes it another name (has-comments).
-PARTS = frozenset("area bar block box button buttons container footer form header heading icons inner item items link links list post posts signup site slot title unit wrap wrapper".split())
+PARTS = frozenset(
+    (
+        "area", "bar", "block", "box", "button", "buttons", "container", "footer", "form", "header", "heading", "icons", "inner", "item",
+        "items", "link", "links", "list", "post", "posts", "signup", "site", "slot", "title", "unit", "wrap", "wrapper",
+    )
+)
 KNOWN = NAMES | PARTS
 #: Of these names an article is none, if the page has another; elements of the first three hold no article but comments.
-COMMENTS = frozenset("comment comments disqus".split())
+COMMENTS = frozenset(("comment", "comments", "disqus"))
 NO_ARTICLE = COMMENTS | frozenset("ad ads advert advertisement advertisements advertising adverts".split())
 #: A start tag on the left ends an open element on the right, up to the element after it.
 ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: What a head can hold; any other element, and text, ends a head that is open.
-IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+IN_HEAD = frozenset(
+    (
+        "base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title",
+    )
+)
 #: What an article's own header keeps: its headings and leading paragraphs.
 IN_HEADER = HEADINGS | frozenset("div header hgroup p".split())
-KEEPS_P = frozenset("body html caption dd dt li td th tr tbody thead tfoot summary legend figcaption".split())
+KEEPS_P = frozenset(
+    (
+        "body", "html", "caption", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "legend", "figcaption",
+    )
+)
 
 MASK = (1 << 64) - 1
 MARKUP = re.compile(

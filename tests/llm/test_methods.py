@@ -232,3 +232,26 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         shared.shared_folder(Elsewhere)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    from tokenizers import Tokenizer
+
+    from oresieve.llm import bpe, chat, simhash
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["word " * 60_000, "漢字" * 100_000, "x" * 300_000, "a b c d e f g h\n" * 20_000, None, "", "tie", "tie"]
+    rows = [(k, t, "clash") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").withColumn("decoded", F.lit(1)).withColumn("fp", F.lit(1)).withColumn("q_kept", F.lit(1)).withColumn("score", F.lit(1))
+    got = {r.doc_id: r for r in bpe.encode_decode(docs, P.path("byte_bpe_50k.json")).collect()}
+    for k, t, _ in rows:
+        assert np.frombuffer(got[k].ids, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids and got[k].decoded == (t or "")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6}
+    assert [r.doc_id for r in quality.keep_good(docs).collect()] == []
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).select("doc_id").collect()) == [0, 1, 2, 3, 4, 6]
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "</s>" * 50_000), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    said = {r.conv_id: r for r in chat.format_chats(chat.records_of(turns)).collect()}
+    assert [tuple(t) for t in said[1].turns] == [("user", "a"), ("user", "a"), ("assistant", "</s>" * 50_000)] and chat.parse(said[1].formatted) == [tuple(t) for t in said[1].turns]
+    pages = spark.createDataFrame([(1, "http://a.org/es/1", "<p>x" * 300_000 + "<link rel=canonical href='http://b.y/1'>"), (2, "http://b.y/1", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, [urls.rule("org/es/", False)]).collect()} == {1: "block", 2: "block"}
+    assert {r.page_id: r.n_chars for r in html.main_text(pages).collect()} == {1: 2 * 300_000 - 1, 2: 0}
