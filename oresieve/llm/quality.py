@@ -162,7 +162,8 @@ def count_texts(texts: list[str]) -> dict[str, np.ndarray]:
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)
     longest = repeats(ids, doc, np.repeat(offsets[1:].astype(np.int32), n))
     top = np.zeros(len(texts), np.int64)
-    np.maximum.at(top, doc, longest)
+    at = np.flatnonzero(longest)
+    np.maximum.at(top, doc[at], longest[at])
     return dict(zip(COUNTS, (n, chars, symbols, np.array(dup, np.int64), _sums(covered(longest), offsets), top), strict=True))
 
 
