@@ -6,13 +6,16 @@ candidates under one naming, so that many are on both; orders are also files of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import analysis, dependencies, enrich, extraction, report, search, state
 from ..sources import sinks, snapshots
+from . import pipelines
 from .analogues import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -21,7 +24,7 @@ HITS = """
 hits AS (
   SELECT 'org/r' || o_custkey AS full_name, o_orderpriority AS term, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS term_seq, epoch_us(o_orderdate) AS page, o_orderkey AS pos,
     CAST(floor(o_totalprice / 1000) AS BIGINT) AS stars, CASE WHEN o_orderstatus = 'P' THEN 'Go' ELSE 'Python' END AS language, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS pushed_at,
-    CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 7 = 0 END AS fork, o_orderkey % 11 = 0 AS archived, o_orderkey % 13 = 0 AS disabled
+    o_orderkey % 900 AS days, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 7 = 0 END AS fork, o_orderkey % 11 = 0 AS archived, o_orderkey % 13 = 0 AS disabled
   FROM orders
 )"""
 
@@ -33,7 +36,7 @@ def _hits(spark, sf_dir) -> DataFrame:
     item = F.struct(
         F.concat(F.lit("org/r"), "o_custkey").alias("full_name"), F.floor(F.col("o_totalprice") / 1000).alias("stargazers_count"),
         F.when(F.col("o_orderstatus") == "P", "Go").otherwise("Python").alias("language"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pushed_at"),
-        F.when(key % 5 == 0, None).otherwise(key % 7 == 0).alias("fork"), (key % 11 == 0).alias("archived"), (key % 13 == 0).alias("disabled"),
+        F.date_format(at - F.make_dt_interval((key % 900).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.when(key % 5 == 0, None).otherwise(key % 7 == 0).alias("fork"), (key % 11 == 0).alias("archived"), (key % 13 == 0).alias("disabled"),
     )
     return o.select(F.col("o_orderpriority").alias("term"), F.substring("o_orderpriority", 1, 1).cast("int").alias("term_seq"), F.unix_micros(at).alias("page"), key.alias("pos"), item.alias("item"))
 
@@ -59,10 +62,7 @@ FROM a GROUP BY full_name
 def candidate_rows(spark, sf_dir):
     """Exclusion in any case, flags, first-wins and the flat projection, as application searches chain them."""
     known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("ORG/R"), "s_suppkey").alias("full_name"))
-    found = search.first_wins(search.active(search.excluded(_hits(spark, sf_dir), known)))
-    item = F.struct(*(F.col(f"item.{c}").alias(c) if c in ("stargazers_count", "language", "pushed_at", "fork", "archived", "disabled") else F.lit(None).cast(kind).alias(c) for c, kind in ITEM.items()))
-    rows = search.candidates(found.withColumn("item", item))
-    return rows.select("full_name", "stars", "language", "pushed_at", "matched_frameworks")
+    return search.candidates(search.first_wins(search.active(search.excluded(_whole(_hits(spark, sf_dir)), known)))).select("full_name", "stars", "language", "pushed_at", "matched_frameworks")
 
 
 #: The fields of a hit that flat rows are made of.
@@ -72,6 +72,116 @@ ITEM = {
     "archived": "boolean", "disabled": "boolean", "license": "struct<spdx_id:string>",
 }
 
+def _whole(hits: DataFrame) -> DataFrame:
+    """Hits with all fields of an item, null where the orders have none."""
+    have = hits.schema["item"].dataType.fieldNames()
+    item = F.struct("item.full_name", *(F.col(f"item.{c}").alias(c) if c in have else F.lit(None).cast(kind).alias(c) for c, kind in ITEM.items()))
+    return hits.withColumn("item", item)
+
+
+#: What the searches know besides hits: contributors, commits and trees of each customer's repository.
+APPLICATIONS = f"""
+{HITS}, k AS (SELECT DISTINCT lower('ORG/R' || s_suppkey) AS n FROM supplier),
+a AS (SELECT * FROM hits WHERE true QUALIFY row_number() OVER (PARTITION BY term ORDER BY page, pos) <= 300),
+x AS (SELECT * FROM a WHERE lower(full_name) NOT IN (SELECT n FROM k)),
+facts AS (
+  SELECT 'org/r' || o_custkey AS full_name, count(*) AS contributors, sum(o_orderkey % 40)::BIGINT AS total_commits, count(*) FILTER (o_orderkey % 3 = 0) AS test_file_count FROM orders GROUP BY o_custkey
+)"""
+
+
+def _facts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("org/r"), "o_custkey").alias("full_name"), "o_orderkey")
+    commits = o.groupBy("full_name").agg(F.sum(F.col("o_orderkey") % 40).alias("total_commits"))
+    entries = o.select("full_name", F.lit("blob").alias("type"), F.when(F.col("o_orderkey") % 3 == 0, "t/test_a.py").otherwise("a.py").alias("path"))
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("ORG/R"), "s_suppkey").alias("full_name"))
+    return known, o.select("full_name"), commits, entries
+
+
+@query(f"""
+WITH {APPLICATIONS}, f AS (
+  SELECT full_name, arg_min(stars, (term_seq, page, pos)) AS stars, arg_min(days, (term_seq, page, pos))::INTEGER AS lifetime_days, arg_min(archived OR disabled, (term_seq, page, pos)) AS out, string_agg(DISTINCT term, ', ' ORDER BY term) AS matched_frameworks
+  FROM x WHERE NOT coalesce(fork, false) GROUP BY full_name
+), p AS (SELECT f.*, least(contributors, 100) AS c, test_file_count AS t, round(total_commits / (nullif(lifetime_days, 0) / 30.44::DOUBLE), 2) AS per FROM f JOIN facts USING (full_name) WHERE NOT out)
+SELECT full_name, stars, lifetime_days, matched_frameworks,
+  CASE WHEN lifetime_days < 30 THEN 'lifetime' WHEN coalesce(per, 0) < 2 THEN 'commit_freq' WHEN c < 2 THEN 'contributors' WHEN t < 2 THEN 'no_tests' END AS drop_reason
+FROM p
+""")
+def applications_first(spark, sf_dir):
+    """The first version's whole search: forks go before first-wins, archived and disabled ones after."""
+    known, contributors, commits, entries = _facts(spark, sf_dir)
+    rows = pipelines.applications_v1(_whole(_hits(spark, sf_dir)), known, contributors, commits, entries)
+    return rows.select("full_name", "stars", "lifetime_days", "matched_frameworks", "drop_reason")
+
+
+@query(f"""
+WITH {APPLICATIONS}, f AS (
+  SELECT full_name, arg_min(stars, (term_seq, page, pos)) AS stars, arg_min(days, (term_seq, page, pos))::INTEGER AS lifetime_days, string_agg(DISTINCT term, ', ' ORDER BY term) AS matched_frameworks
+  FROM x WHERE NOT coalesce(fork, false) AND NOT archived AND NOT disabled GROUP BY full_name
+)
+SELECT full_name, stars, lifetime_days, matched_frameworks, 'main' AS default_branch,
+  CASE WHEN lifetime_days < 30 THEN 'lifetime' WHEN contributors < 2 THEN 'contributors' WHEN NOT total_commits / greatest(lifetime_days / 30.0::DOUBLE, 1.0::DOUBLE) > 2 THEN 'commit_freq' WHEN test_file_count < 1 THEN 'no_tests' END AS drop_reason
+FROM f JOIN facts USING (full_name)
+""")
+def applications_second(spark, sf_dir):
+    """The second version's whole search: all flags are tested before first-wins, rates are not rounded."""
+    known, contributors, commits, entries = _facts(spark, sf_dir)
+    rows = pipelines.applications_v2(_whole(_hits(spark, sf_dir)), known, snapshots.contributor_counts(contributors), commits, entries)
+    return rows.select("full_name", "stars", "lifetime_days", "matched_frameworks", "default_branch", "drop_reason")
+
+
+@query("SELECT i AS term_seq, t AS term, '\"' || t || '\" language:Python stars:>10 pushed:>2025-04-14' AS query FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(K.APPLICATION_TERMS)) + ") v(i, t)")
+def search_terms(spark, sf_dir):
+    return search.application_queries(spark)
+
+
+@query("SELECT 'org/r' || o_custkey AS full_name, 'main' AS branch, CASE WHEN o_orderkey % 4 = 0 THEN 'tree' ELSE 'blob' END AS type, 'p/' || o_orderkey AS path FROM orders WHERE o_custkey % 5 <> 0")
+def tree_listing(spark, sf_dir):
+    """Tree listings, one a repository, some without a tree, as entries."""
+    entry = F.struct(F.when(F.col("o_orderkey") % 4 == 0, "tree").otherwise("blob").alias("type"), F.concat(F.lit("p/"), "o_orderkey").alias("path"))
+    listings = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(entry).alias("tree"))
+    return snapshots.tree_entries(listings.select(F.concat(F.lit("org/r"), "o_custkey").alias("full_name"), F.lit("main").alias("branch"), F.when(F.col("o_custkey") % 5 != 0, F.col("tree")).alias("tree")))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that executors share; on one machine a local one if the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/oresieve" * spark.sparkContext.master.startswith("local[")
+    if not root:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{root.rstrip('/')}/oresieve-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS key, c_name || ', "' || c_mktsegment || '"' || chr(10) || 'é' AS text, CASE WHEN c_nationkey % 3 = 0 THEN '' ELSE CAST(c_acctbal AS VARCHAR) END AS cell, CASE WHEN c_nationkey > 9 THEN 'True' ELSE 'False' END AS flag FROM customer
+""")
+def csv_round_trip(spark, sf_dir):
+    """An export with line breaks, quotes, commas and empty cells, written and read again."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("key"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\né')).alias("text"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_acctbal")).alias("cell"), (F.col("c_nationkey") > 9).alias("flag")
+    )
+    path = _folder(spark, "export")
+    sinks.export_csv(rows, path, rows.columns, [F.col("key")])
+    return snapshots.csv_or_empty(spark, path, rows.columns)
+
+
+@query("SELECT user_id::VARCHAR AS full_name, count(*) AS n, max(event_id) AS last FROM events WHERE event_type <> 'click' GROUP BY user_id UNION ALL SELECT user_id::VARCHAR, -count(*), NULL FROM events GROUP BY user_id HAVING count(*) FILTER (event_type <> 'click') = 0")
+def state_versions(spark, sf_dir):
+    """A state saved, saved again with rows that replace most of it, and loaded by another reader."""
+    e = table(spark, sf_dir, "events").withColumn("full_name", F.col("user_id").cast("string"))
+    path = _folder(spark, "state")
+    kept = state.State(spark, path, "full_name string, n bigint, last bigint")
+    kept.save(e.groupBy("full_name").agg((-F.count(F.lit(1))).alias("n"), F.lit(None).cast("bigint").alias("last")))
+    kept.save(e.where("event_type <> 'click'").groupBy("full_name").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")))
+    return state.State(spark, path, kept.schema).load()
+
+
+@query("SELECT r_regionkey AS k, r_name AS n FROM region UNION ALL SELECT n_nationkey, n_name FROM nation")
+def appended_rows(spark, sf_dir):
+    path = _folder(spark, "rows")
+    sinks.append(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("n")), path)
+    sinks.append(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")), path)
+    return snapshots.table(spark, path, "k int, n string")
+
+
 #: A repository's numbers from its customer's orders and their lines.
 REPOS = """
 r AS (
@@ -285,6 +395,23 @@ def package_map(spark, sf_dir):
     return found.select("full_name", F.array_join(entries, ";").alias("matches"))
 
 
+@query(f"""
+WITH {FILES}, {CANDIDATES}, w AS (SELECT DISTINCT full_name, branch FROM cand), n AS (SELECT * FROM w, (VALUES {', '.join(f"('{n}')" for n in K.ROOT_DEP_FILES)}) v(path))
+SELECT n.full_name, n.branch, n.path, f.content FROM n LEFT JOIN files f ON f.full_name = n.full_name AND f.branch = n.branch AND f.path = n.path AND f.status = 200
+""")
+def fetched_contents(spark, sf_dir):
+    """The eight names at each candidate's root, with the content where there is one."""
+    wanted = _candidates(spark, sf_dir).select("full_name", "branch").distinct().select("full_name", "branch", F.explode(F.array(*map(F.lit, K.ROOT_DEP_FILES))).alias("path"))
+    return snapshots.fetched(wanted, _files(spark, sf_dir))
+
+
+@query(f"WITH {ROOT} SELECT h.full_name, h.branch, h.path, h.content FROM files h JOIN firsts c ON c.full_name = h.full_name AND c.branch = h.branch WHERE h.status = 200 AND h.path IN {ROOT_NAMES}")
+def root_files(spark, sf_dir):
+    order = Window.partitionBy("full_name").orderBy("category_seq", "row_seq")
+    todo = state.remaining(_candidates(spark, sf_dir), _state(spark, sf_dir)).withColumn("rn", F.row_number().over(order)).where("rn = 1")
+    return dependencies.root_files(spark, todo, _files(spark, sf_dir))
+
+
 def _root(spark, sf_dir):
     return dependencies.root_check(spark, _candidates(spark, sf_dir), _files(spark, sf_dir), _state(spark, sf_dir))
 
