@@ -45,6 +45,25 @@ def get_json(url: str, token: str | None = None, sleep=time.sleep, attempts: int
     return None
 
 
+def env_file(path: str) -> dict[str, str]:
+    """The settings of a file of NAME=value lines; comments and blank lines are none, quotes around a value go. A missing file has none."""
+    found = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                name, equals, value = line.strip().removeprefix("export ").partition("=")
+                if equals and not name.startswith("#"):
+                    value = value.strip()
+                    quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+                    found[name.strip()] = value[1:-1] if quoted else value
+    return found
+
+
+def secret(name: str, path: str | None = None) -> str | None:
+    """A secret from the environment, or else from a file of settings; it is never an option or a column, as plans store these."""
+    return os.environ.get(name) or (env_file(path).get(name) if path else None)
+
+
 class Term(InputPartition):
     def __init__(self, seq: int, text: str):
         super().__init__(seq)
@@ -57,12 +76,13 @@ class SearchReader(DataSourceReader):
         self.terms = json.loads(options["terms"])
         self.pages, self.rows = int(options.get("pages", K.MOST_PAGES)), int(options.get("rows", K.PAGE_ROWS))
         self.pause, self.token_name = float(options.get("pause", "1")), options.get("tokenvariable", "GITHUB_TOKEN")
+        self.settings = options.get("settings")
 
     def partitions(self):
         return [Term(k, t) for k, t in enumerate(self.terms)]
 
     def read(self, partition):
-        token = os.environ.get(self.token_name)  # never an option: options are stored with plans
+        token = secret(self.token_name, self.settings)
         for page in range(1, self.pages + 1):
             query = urllib.parse.urlencode({"q": partition.text, "sort": "stars", "order": "desc", "per_page": self.rows, "page": page})
             items = (get_json(f"{self.base}?{query}", token) or {}).get("items", [])

@@ -121,3 +121,13 @@ def test_link_flavours_and_strict_sources(spark):
         assert got[0][1] == "test_a" and got[0][7] == ["f()"]
     lenient, strict = ([*source_code.test_functions(deep, None, s)] for s in (False, True))
     assert len(lenient) == len(strict) == 1 and (strict[0][-1] is False or strict[0][7] == lenient[0][7])
+
+
+def test_secrets_come_from_the_environment_or_a_file(tmp_path, monkeypatch):
+    from oresieve.sources import live
+
+    (tmp_path / ".env").write_text("# A=0\n\nA=1\nexport B = 'x y' \nC=\"q=r\"\nbad\n")
+    assert live.env_file(str(tmp_path / ".env")) == {"A": "1", "B": "x y", "C": "q=r"} and live.env_file(str(tmp_path / "none")) == {}
+    monkeypatch.setenv("A", "own")
+    monkeypatch.delenv("B", raising=False)
+    assert [live.secret(n, str(tmp_path / ".env")) for n in "ABZ"] == ["own", "x y", None] and live.secret("B") is None
