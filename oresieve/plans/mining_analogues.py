@@ -6,6 +6,7 @@ candidates under one naming, so that many are on both; orders are also files of
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -144,9 +145,11 @@ def tree_listing(spark, sf_dir):
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder that executors share; on one machine a local one if the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/oresieve" * spark.sparkContext.master.startswith("local[")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "/tmp/checkpoints/oresieve"
     return f"{root.rstrip('/')}/oresieve-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 

@@ -115,7 +115,7 @@ def test_link_flavours_and_strict_sources(spark):
     rows = spark.createDataFrame([("a", '<x?per_page=1&page=7>; rel="last"', 3, 200), ("b", '<x?per_page=9>; rel="last"', 3, 200), ("c", None, 3, 200), ("d", None, 3, 451)], schemas.COMMIT_LINKS)
     assert [dict(map(tuple, snapshots.link_counts(rows, "n", page).collect())) for page in (C.last_page, C.last_page_v1)] == [{"a": 7, "b": 3, "c": 3, "d": 0}, {"a": 7, "b": 9, "c": 3, "d": 0}]
     assert rows.select(C.short_error(F.lit(" \n" + "x" * 300))).first()[0] == "x" * 200
-    deep = "def test_a():\n    return " + "(" * 0 + ".a".join(["f()"] + [""] * 3000) + "b\n"
+    deep = "def test_a():\n    return f()" + ".a" * 3000 + "\n"
     for strict in (False, True):
         got = [*source_code.test_functions("def test_a():\n    f()\n", None, strict)]
         assert got[0][1] == "test_a" and got[0][7] == ["f()"]
