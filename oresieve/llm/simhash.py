@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .components import connected_components
-from .shared import Scratch, named, slices, small_batches
+from .shared import Scratch, named, small_batches
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints of the largest bucket that is compared pair by pair; a larger one goes the way of one-bit neighbours.
 PAIRWISE = 48
-#: Text bytes in one numpy pass.
+#: Text bytes in one numpy pass, and in one run of a longer text's words.
 PASS_BYTES = 1_000_000
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _signed(value: int) -> int:
@@ -36,26 +37,34 @@ def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(bits) if ((i % (space - 1) + 1) & v).bit_count() % 2) for v in range(1, space)]
 
 
-def _fingerprints(texts: list[str]) -> np.ndarray:
-    """The 64-bit fingerprints of a few texts."""
-    hashes, counts = [], []
-    for text in texts:
-        words = text.encode().lower().split()
-        if len(words) >= SHINGLE:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
-            starts = [0, *ends]
-            shingles = [joined[a : b - 1] for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)]
-        else:
-            shingles = [b" ".join(words)] if words else []
-        hashes.append(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
-        counts.append(len(shingles))
-    out = np.zeros(len(texts), np.uint64)
-    for k, (h, n) in enumerate(zip(hashes, counts, strict=True)):
-        if n:
-            ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
-            out[k] = np.packbits(2 * ones > n).view(">u8")[0]
-    return out
+def _runs(text: bytes, size: int):
+    """A text's words in runs of about `size` bytes, each behind the last words of the run before, so that every shingle is in one run."""
+    at, behind = 0, []
+    while at < len(text) or not at:
+        cut = WHITE.search(text, at + size) if len(text) - at > size else None
+        end = cut.start() if cut else len(text)
+        words = behind + text[at:end].split()
+        yield words
+        if not cut:
+            return
+        at, behind = end, words[1 - SHINGLE :]
+
+
+def _fingerprint(text: str, size: int = PASS_BYTES) -> int:
+    """The 64-bit fingerprint of a text; beside the text, a run's words and shingles are held."""
+    ones, n, words = np.zeros(BITS, np.int64), 0, []
+    for words in _runs(text.encode().lower(), size):
+        if len(words) < SHINGLE:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
+        shingles = [joined[a : b - 1] for a, b in zip([0, *ends], ends[SHINGLE - 1 :], strict=False)]
+        h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    if not n:
+        return xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", name: str = "fp") -> DataFrame:
@@ -63,16 +72,14 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", name: str
 
     A-Z are lower-cased; words are runs of anything but space and U+0009 to U+000D; a bit is set if it is set in over half of
     the XXH64 values (UTF-8, seed 42) of the 3-word shingles, repeats included. Fewer words: the whole sequence is the one
-    shingle; none, or a null text: zero. No shuffle.
+    shingle; none, or a null text: zero. No shuffle. A long text's words are taken in runs, so that its list of shingles is never whole.
     """
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(len(keep)).fill_null("")
-            column, sizes = texts.to_pylist(), pc.binary_length(texts).to_pylist()
-            parts = [_fingerprints(column[a:b]) for a, b in slices(sizes, PASS_BYTES)]
-            fps = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+            fps = np.array([_fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps, pa.int64())], names=[*keep, name])
 
     schema = docs.select(*keep).schema.add(name, "long", False)
