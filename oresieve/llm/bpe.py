@@ -29,6 +29,8 @@ MARKS = frozenset(".,;:!?")
 MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
 #: Text bytes turned into one Arrow batch of results.
 BATCH_BYTES = 8_000_000
+#: Characters of a text that are split into words at once, and ids that are decoded at once.
+PIECE = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -203,9 +205,16 @@ class ByteBPE:
         words = self.words
         return b"".join([words[w] for w in self.pattern.findall(space + chunk)])
 
-    def _part(self, text: str) -> bytes:
-        first, *rest = self.cut.split(text)
-        return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
+    def _part(self, text: str, piece: int = PIECE) -> bytes:
+        """The ids of a text between added tokens. A long one is cut where a word begins with its space, as no word reaches over it."""
+        out, at = [], 0
+        while at < len(text):
+            cut = self.cut.search(text, at + piece) if len(text) - at > piece else None
+            end = cut.start() if cut else len(text)
+            first, *rest = self.cut.split(text[at:end])
+            out.append(self.plain[first] + b"".join(map(self.spaced.__getitem__, rest)))
+            at = end
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit numbers, little-endian."""
@@ -215,7 +224,9 @@ class ByteBPE:
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids, added tokens included; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+        numbers = memoryview(ids).cast("I")
+        pieces = [b"".join(map(self.bytes_of.__getitem__, numbers[k : k + PIECE])) for k in range(0, len(numbers), PIECE)]
+        return b"".join(pieces).decode("utf-8", "replace")
 
 
 _loaded: dict[tuple, object] = {}
