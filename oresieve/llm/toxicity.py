@@ -29,6 +29,9 @@ LEAST_DOCS, LEAST_ERRORS, LEAST_RATIO = 4, 4.0, 3.0
 MOST_FEATURES, MOST_COUNTS = 20_000, 1_000
 #: Log odds of a sentence without evidence, which its score is measured from; steps of the fit; weights below are 0.
 BACKGROUND, STEPS, RATE, SHRINK = -5.0, 300, 0.15, 2e-4
+#: Characters of a text that are split into words at once.
+PIECE = 1 << 20
+SPACE = re.compile(r"\s")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’*#$%&|-_/\\"
 
@@ -152,14 +155,22 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return fit_counts([counted(t, y, numbers) for t, y in zip(texts, labels, strict=True)], start)
 
 
+def word_runs(text: str, at: int, end: int, piece: int = PIECE):
+    """The words between two places of a text, in lists of a bounded part of it each."""
+    while end - at > piece and (cut := SPACE.search(text, at + piece, end)):
+        yield text[at : cut.start()].split()
+        at = cut.start()
+    yield text[at:end].split()
+
+
 def score(model_word, text: str) -> tuple[float, list[tuple[int, int, float]]]:
     """A text's score, and the sentences with evidence: where they begin and end, and their scores. model_word: a token's weight."""
     clear, spans, at = 1.0, [], 0
-    if not any(map(model_word, text.split())):
+    if not any(any(map(model_word, run)) for run in word_runs(text, 0, len(text))):
         return 0.0, []
     for m in [*SENTENCE.finditer(text), None]:
         end = m.start() if m else len(text)
-        odds = sum(map(model_word, text[at:end].split()))
+        odds = sum(sum(map(model_word, run)) for run in word_runs(text, at, end))
         if odds > 0:
             p = float(chance(odds))
             clear *= 1 - p
@@ -203,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     def kinds(batches):
         for batch in batches:
             for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = sorted({f for w in set(text.split()) for f in features(w)})
+                words = {w for run in word_runs(text, 0, len(text)) for w in run}
+                found = sorted({f for w in words for f in features(w)})
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.string())], names=["label", "feature"])
 
     counts = sample.mapInArrow(kinds, "label int, feature string").groupBy("feature").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oresieve.llm import embed, html, mix, quality, shared, tokencount, toxicity, urls
+from oresieve.llm import bpe, embed, html, mix, quality, shared, simhash, tokencount, toxicity, urls
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -255,3 +255,18 @@ def test_long_texts_and_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "http://a.org/es/1", "<p>x" * 300_000 + "<link rel=canonical href='http://b.y/1'>"), (2, "http://b.y/1", None)], "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in urls.judge(pages, [urls.rule("org/es/", False)]).collect()} == {1: "block", 2: "block"}
     assert {r.page_id: r.n_chars for r in html.main_text(pages).collect()} == {1: 2 * 300_000 - 1, 2: 0}
+
+
+def test_long_texts_are_taken_in_runs():
+    draw = random.Random(12)
+    texts = ["", " ", "a", "a b", " A b\tc ", "x" * 40, "a " * 30, "a\n\n b  c\x1cd\xa0e"]
+    texts += ["".join(draw.choice("aB \n\x1c\xa0\u3000.'s12") for _ in range(draw.randint(1, 60))) for _ in range(400)]
+    coder = bpe.ByteBPE(shared.file_bytes(P.path("byte_bpe_50k.json")))
+    weight = {"a": 1.0, "b": -0.5, "ab": 2.0}.get
+    for t in texts:
+        for size in (1, 5, 17):
+            assert simhash._fingerprint(t, size) == simhash._fingerprint(t)
+            assert coder._part(t, size) == coder._part(t)
+            runs = [w for run in toxicity.word_runs(t, 0, len(t), size) for w in run]
+            assert runs == t.split()
+        assert toxicity.score(lambda w: weight(w.lower(), 0.0), t)[0] >= 0
