@@ -1,11 +1,13 @@
-"""Column expressions shared by the operators; all but py_round stay inside Catalyst."""
+"""Column expressions shared by the operators; all but py_round and number_text stay inside Catalyst."""
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from . import constants as K
 
@@ -130,7 +132,17 @@ def py_round(value: Column, digits: int = 0) -> Column:
     return _round(value.cast("double"), F.lit(digits))
 
 
+@F.arrow_udf(StringType())
+def _number_text(values: pa.Array) -> pa.Array:
+    # Arrow's digits are the shortest, as Python's are; its zeros and exponents differ
+    size = pc.abs(values)
+    plain = pc.and_(pc.greater_equal(size, 1e-3), pc.less(size, 1e7))
+    text = values.cast(pa.string())
+    text = pc.if_else(pc.match_substring(text, "."), text, pc.binary_join_element_wise(text, ".0", ""))
+    rest = pc.fill_null(pc.invert(plain), False)
+    return pc.replace_with_mask(text, rest, pa.array([repr(v) for v in values.filter(rest).to_pylist()], pa.string()))
+
+
 def number_text(value: Column) -> Column:
-    """A double as Python writes it, below 1e16: 48.0, 2.1; Spark turns to exponents from 1e7 on."""
-    whole = value == F.floor(value)
-    return F.when(whole, F.format_string("%d.0", F.floor(value).cast("long"))).otherwise(value.cast("string"))
+    """A double as Python writes it: 48.0, -0.0, 12345678.5, 1e-05, nan. Spark has exponents from 1e7 on, and more digits than needed in places. One Arrow batch at a time."""
+    return _number_text(value.cast("double"))

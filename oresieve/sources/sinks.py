@@ -17,7 +17,7 @@ def export_text(table: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.BooleanType):
             c = C.flag_text(c)
         elif isinstance(f.dataType, T.DoubleType | T.FloatType):
-            c = C.number_text(c)
+            c = C.number_text(c.cast("string") if isinstance(f.dataType, T.FloatType) else c)  # 32 bits: 0.1, not 0.10000000149011612
         return F.coalesce(c.cast("string"), F.lit("")).alias(f.name)
 
     return table.select(*map(cell, table.schema.fields))

@@ -48,6 +48,14 @@ def test_round_is_pythons(spark):
     assert df.where("false").select(C.py_round(F.col("x"), 1)).collect() == []
 
 
+def test_numbers_are_pythons(spark):
+    rows = [0.0, -0.0, 0.001, -9.99e-4, 1e-5, 2.5, 48.0, -300.1, 9999999.0, 1e7, 1e7 + 0.5, 123456789.25, 1e15, 1e15 + 0.5, 9999999999999998.0, 1e16, 1e23, 2e23, 5e-324, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan")]
+    rows += [n / 100 for n in range(-1000, 1000)] + [7.0 ** n / 3 for n in range(-40, 40)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*rows, None])], "k int, x double")
+    assert [r[0] for r in df.orderBy("k").select(C.number_text(F.col("x"))).collect()] == [*map(repr, rows), None]
+    assert df.where("false").select(C.number_text(F.col("x"))).collect() == []
+
+
 def test_small_helpers(spark):
     df = spark.createDataFrame([("a/b_c/x", None, "", ["t", "u"]), ("solo", [], None, None)][:1], "n string, t string, e string, l array<string>")
     r = df.select(

@@ -3,6 +3,8 @@
 import json
 import subprocess
 
+import pytest
+
 from oresieve.functions import schemas
 from oresieve.operators import dependencies, report, state
 from oresieve.plans import mining_analogues
@@ -131,3 +133,20 @@ def test_secrets_come_from_the_environment_or_a_file(tmp_path, monkeypatch):
     monkeypatch.setenv("A", "own")
     monkeypatch.delenv("B", raising=False)
     assert [live.secret(n, str(tmp_path / ".env")) for n in "ABZ"] == ["own", "x y", None] and live.secret("B") is None
+
+
+def test_csv_round_trip_of_odd_numbers(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    values = [-0.0, 0.0, 0.5, 1e-5, 1e7 + 0.5, 123456789.25, 1e16, 1e23, float("nan"), float("-inf")]
+    rows = [(k, f"c{k}", nation, x, "a,b") for k, (nation, x) in enumerate((n, x) for n in (1, 3, 20, None) for x in values)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(mining_analogues, "_folder", lambda _, name: str(tmp_path / name))
+    got = sorted(map(tuple, mining_analogues.QUERIES["csv_round_trip"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+        assert got == sorted(db.execute(mining_analogues.ORACLES["csv_round_trip"]).fetchall())
+
+
+def test_exported_floats(spark):
+    rows = spark.createDataFrame([(0.1, -0.0), (2.0, None)], "f float, d double")
+    assert [tuple(r) for r in sinks.export_text(rows).collect()] == [("0.1", "-0.0"), ("2.0", "")]
